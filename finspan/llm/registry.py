@@ -1,7 +1,7 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from finspan.llm import byte_bpe, minhash_near, token_store
+from finspan.llm import byte_bpe, language_id, minhash_near, token_store
 
-MODULES = (byte_bpe, minhash_near, token_store)
+MODULES = (byte_bpe, language_id, minhash_near, token_store)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
