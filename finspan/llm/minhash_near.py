@@ -25,6 +25,8 @@ from finspan.llm.sketch import band_keys, set_key, shingles, signature
 
 #: Members compared with one copy of a hub's set in one task.
 PER_COPY = 200
+#: So many ids are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 
 def sketches(docs: DataFrame, words: int, coordinates: int, rows: int) -> DataFrame:
@@ -103,7 +105,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, coordina
     texts = own.where("doc_id is not null")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return written(_sets(texts.join(ids.toDF("doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+        ids = written(ids.toDF("doc_id"), "ids")
+        if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled
+            ids = F.broadcast(ids)
+        return written(_sets(texts.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
 
     sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct())
     links = written(_linked(pairs, sets, percent), "links")
