@@ -258,9 +258,10 @@ def _groups(texts: list, size: int = 1 << 22) -> Iterator[list]:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
-    """Per row: the columns named in keep, ids (binary, little-endian unsigned 32-bit), n_tokens, decoded (binary).
+    """Per row: the columns named in keep, n_tokens (long), ids (binary, little-endian unsigned 32-bit).
 
-    A null or empty text has no ids. Rows, repeated ones too, stay one for one; other columns are dropped.
+    Ids that don't decode to the text raise. A null or empty text has no ids. Rows, repeated ones too, stay one for one;
+    other columns are dropped.
     """
     keep = list(keep)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -269,16 +270,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         e = encoder(path, pattern)
         for batch in batches:
             at = 0
-            for texts in _groups(batch.column(batch.num_columns - 1).to_pylist()):
+            for texts in _groups(batch.column(len(keep)).to_pylist()):
                 ids = e.encode(texts)
+                for x, y in zip(texts, ids, strict=True):
+                    if e.decode(y) != (x or "").encode():
+                        raise ValueError("ids do not decode to the text")
                 cols = [batch.column(i).slice(at, len(texts)) for i in range(len(keep))]
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(e.decode, ids), pa.binary())],
-                    names=[*keep, "ids", "n_tokens", "decoded"],
-                )
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"])
 
-    return docs.select(*keep, docs[text].cast("string")).mapInArrow(run, f"{schema}, ids binary, n_tokens bigint, decoded binary")
+    return docs.select(*keep, docs[text].cast("string").alias("__text")).mapInArrow(run, f"{schema}, n_tokens bigint, ids binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The separators of words: ASCII white space only.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -40,6 +41,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: So many row numbers or ids are broadcast at most; beyond, both sides of a join are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def by_row(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows with a column __row, semi- or anti-joined (how) with ids, whose only column is __row; __row is dropped."""
+    ids = written(ids, "rows")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__row", how).drop("__row")
+
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -84,7 +84,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without those that overlap with the benchmark, with their columns."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     bad = matches(rows.select(F.col("__row").alias("row"), "text"), benchmark).select(F.col("row").alias("__row"))
-    return rows.join(written(bad.distinct(), "contaminated"), "__row", "left_anti").drop("__row")
+    return common.by_row(rows, bad.distinct(), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

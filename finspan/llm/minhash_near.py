@@ -25,8 +25,6 @@ from finspan.llm.sketch import band_keys, set_key, shingles, signature
 
 #: Members compared with one copy of a hub's set in one task.
 PER_COPY = 200
-#: So many ids are broadcast at most.
-BROADCAST_IDS = 2_000_000
 
 
 def sketches(docs: DataFrame, words: int, coordinates: int, rows: int) -> DataFrame:
@@ -106,7 +104,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, coordina
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = written(ids.toDF("doc_id"), "ids")
-        if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled
+        if ids.count() <= common.BROADCAST_IDS:  # else the texts are shuffled
             ids = F.broadcast(ids)
         return written(_sets(texts.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
 
@@ -152,6 +150,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, coordina
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the rows that near_duplicates does not keep, and with one row of each doc_id; columns are kept."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    ids = rows.select("__row", F.col("doc_id").cast("bigint").alias("doc_id"))
+    first = ids.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
+    return common.by_row(rows, first.union(ids.where("doc_id is null").select("__row")), "left_semi")
+
+
 def _exploded(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

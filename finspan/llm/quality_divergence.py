@@ -120,8 +120,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    verdict = judge(rows.select(F.col("__row").alias("row"), "doc_id", "text", "lang")).where("kept").select(F.col("row").alias("__row"))
-    return rows.join(verdict, "__row", "left_semi").drop("__row")
+    bad = judge(rows.select(F.col("__row").alias("row"), "doc_id", "text", "lang")).where("not kept").select(F.col("row").alias("__row"))
+    return common.by_row(rows, bad, "left_anti")
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
