@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,10 +30,17 @@ from finspan.llm import common
 from finspan.llm.common import shared_dir, written
 
 #: Words whose ids a Python worker keeps; on more, it starts anew. It bounds memory and changes no result.
-KEEP_WORDS = 800_000
+KEEP_WORDS = 1_000_000
 #: Ids that the rolling hash sees, the mean length of a chunk beyond the least, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 32, 4096
 DIGEST = 16
+#: Marks that end a word; they are a token apart from a letter or digit before them.
+_MARKS = b".,;:!?"
+
+
+def _one_piece(word: str) -> bool:
+    """Whether the tokenizer takes the word as one piece: it has but letters, also once normalised."""
+    return word.isalpha() if word.isascii() else unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 class WordEncoder:
@@ -48,37 +57,56 @@ class WordEncoder:
         self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         special = {i: t.content for i, t in self.marked.get_added_tokens_decoder().items()}
-        self.strings = [x.encode() for x in special.values()]
+        self.special = re.compile("|".join(map(re.escape, special.values())).encode()).search
         self.mark_id, self.mark = max(special.items())
         self.known: dict[bytes, bytes] = {}
+        #: Of each id, whether a piece ends with it.
+        self.last = np.zeros(self.plain.get_vocab_size(), bool)
+        self.last[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, words: list[str], joined: str) -> np.ndarray:
+        groups = [joined.join(words[i : i + 64]) for i in range(0, len(words), 64)]
+        return np.concatenate([np.array(e.ids, "<u2") for e in self.marked.encode_batch_fast([g + joined for g in groups], add_special_tokens=False)])
 
     def learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if any(s in w for s in self.strings)]
-        if odd:
-            words = sorted(set(words) - set(odd))
-            for w in odd:
-                self.known[w] = np.array(self.plain.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        for at in range(0, len(words), 6400):
-            part = words[at : at + 6400]
-            groups = [part[i : i + 64] for i in range(0, len(part), 64)]
-            done = self.marked.encode_batch_fast([self.mark.join(w.decode() for w in g) for g in groups], add_special_tokens=False)
-            for group, e in zip(groups, done, strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.flatnonzero(ids == self.mark_id).tolist()
-                raw, begin = ids.astype("<u2").tobytes(), 0
-                for w, end in zip(group, [*ends, len(ids)], strict=True):
-                    self.known[w] = raw[2 * begin : 2 * end]
-                    begin = end + 1
+        known = self.known
+        whole, cut = [], []
+        for w in words:
+            if self.special(w):
+                known[w] = np.array(self.plain.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+            elif w[-1] in _MARKS and (core := w.rstrip(_MARKS)) and core[-1:].isalnum():  # else the marks may belong to a longer run
+                cut.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        new = {x for _, core, marks in cut for x in (core, marks)} - known.keys()
+        new.update(whole)
+        text = b" ".join(new).decode().split(" ") if new else []
+        one = sorted(w for w in text if _one_piece(w))
+        rest = [w for w in text if not _one_piece(w)]
+        for i in range(0, len(one), 64_000):
+            part = one[i : i + 64_000]
+            ids = self._ids(part, " ")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            known.update(zip((w.encode() for w in part), [raw[2 * a : 2 * b] for a, b in zip([0, *ends], ends)], strict=True))
+        for i in range(0, len(rest), 64_000):
+            part = rest[i : i + 64_000]
+            ids = self._ids(part, self.mark)
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            raw = ids.tobytes()
+            known.update(zip((w.encode() for w in part), [raw[2 * a : 2 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)], strict=True))
+        for w, core, marks in cut:
+            known[w] = known[core] + known[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in texts]
+        split = [x.lower().split() for x in texts]  # ASCII letters, which the tokenizer lower-cases anyway
         used = set()
         for words in split:
             used.update(words)
         missing = used - self.known.keys()
         if len(self.known) + len(missing) > KEEP_WORDS:
             self.known, missing = {}, used
-        self.learn(sorted(missing))
+        self.learn(list(missing))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
