@@ -1,4 +1,7 @@
 """All queries of the library and their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from finspan.plans import corpus, market, portfolio
+
+MODULES = (market, portfolio, corpus)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
