@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from finspan.llm import common
 from finspan.llm.common import shared_dir, written
 
-#: Words whose ids a Python worker keeps; on more, it starts anew. It bounds memory and changes no result.
+#: Words whose ids a Python worker keeps; on more, it keeps those in use. It bounds memory and changes no result.
 KEEP_WORDS = 1_000_000
 #: Ids that the rolling hash sees, the mean length of a chunk beyond the least, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 32, 4096
@@ -105,7 +105,7 @@ class WordEncoder:
             used.update(words)
         missing = used - self.known.keys()
         if len(self.known) + len(missing) > KEEP_WORDS:
-            self.known, missing = {}, used
+            self.known = {w: self.known[w] for w in used if w in self.known}
         self.learn(list(missing))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -119,31 +119,47 @@ def _encoder(path: str) -> WordEncoder:
 _ROLL = np.random.default_rng(41).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a stream of 16-bit ids end."""
-    n = len(ids)
-    h = _ROLL[ids]
+def all_cuts(streams: list[bytes]) -> list[list[int]]:
+    """Where the chunks of each stream of 16-bit ids end.
+
+    The hash runs over the streams joined, but no chunk ends within LEAST ids of a stream's begin, so that a window
+    at which one may end never reaches back into another stream.
+    """
+    sizes = np.array([len(x) // 2 for x in streams])
+    h = _ROLL[np.frombuffer(b"".join(streams), "<u2")]
     span = 1
-    while span < WINDOW:  # h[i] becomes the rolling hash of the ids from i - WINDOW + 1 to i
+    while span < WINDOW and len(h) > span:  # h[i] becomes the rolling hash of the ids from i - WINDOW + 1 to i
         more = h.copy()
-        more[span:] += h[:-span] * np.uint32(pow(0x9E3779B1, span, 1 << 32)) if n > span else 0
+        more[span:] += h[:-span] * np.uint32(pow(0x9E3779B1, span, 1 << 32))
         h, span = more, span * 2
-    ends, begin = [], 0
-    for at in (np.flatnonzero((h >> np.uint32(7)) % np.uint32(MEAN) == 0) + 1).tolist():
-        if at - begin < LEAST:
-            continue
-        while at - begin > MOST:
-            begin += MOST
-            ends.append(begin)
-        if at > begin:
+    begin = np.cumsum(sizes) - sizes
+    marks = np.flatnonzero((h >> np.uint32(7)) % np.uint32(MEAN) == 0) + 1
+    edges = np.searchsorted(marks, np.append(begin, sizes.sum()), side="right").tolist()
+    marks = marks.tolist()
+    out = []
+    for first, last, base, n in zip(edges, edges[1:], begin.tolist(), sizes.tolist(), strict=False):
+        ends, at = [], 0
+        for end in marks[first:last]:
+            end -= base
+            if end - at < LEAST:
+                continue
+            while end - at > MOST:
+                at += MOST
+                ends.append(at)
+            if end > at:
+                ends.append(end)
+                at = end
+        while n - at > MOST:
+            at += MOST
             ends.append(at)
-            begin = at
-    while n - begin > MOST:
-        begin += MOST
-        ends.append(begin)
-    if n > begin:
-        ends.append(n)
-    return ends
+        if n > at:
+            ends.append(n)
+        out.append(ends)
+    return out
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    return all_cuts([ids.astype("<u2").tobytes()])[0]
 
 
 def digest(data: bytes) -> bytes:
@@ -174,10 +190,10 @@ def _records(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for part in np.unique(sizes).tolist():
                 out: list[tuple] = []
                 at = np.flatnonzero(sizes == part).tolist()
-                for i, stream in zip(at, encode([texts[i].to_pybytes() for i in at]), strict=True):
-                    stream += end
+                streams = [x + end for x in encode([texts[i].to_pybytes() for i in at])]
+                for i, stream, stops in zip(at, streams, all_cuts(streams), strict=True):
                     digests, lengths, begin = [], [], 0
-                    for stop in cuts(np.frombuffer(stream, "<u2")):
+                    for stop in stops:
                         data = stream[2 * begin : 2 * stop]
                         key = digest(data)
                         if key not in sent:

@@ -48,9 +48,9 @@ FROM m_p p JOIN r_c c ON p.date = c.date WINDOW w AS (ORDER BY c.seq))"""
 TRAIL = "t AS (SELECT r.*, last FROM r, r_l WHERE seq > last - 60)"
 
 
-@query(f"SELECT date, ticker, round(close, 6) AS close, volume FROM ({panel()})")
+@query(f"SELECT date, ticker, close, volume FROM ({panel()})")
 def price_panel(spark, sf):
-    return rounded(P.prices(spark, sf))
+    return P.prices(spark, sf)
 
 
 @query(f"WITH {history(grain='day')} SELECT n.date, n.n FROM r_n n JOIN r_c c ON n.date = c.date")
