@@ -1,7 +1,7 @@
 """All queries of the library and their SQL twins, by name."""
 
-from finspan.plans import corpus, market, portfolio, stream
+from finspan.plans import corpus, market, portfolio, review, snapshots, stream, universe
 
-MODULES = (market, portfolio, corpus, stream)
+MODULES = (market, portfolio, snapshots, corpus, universe, review, stream)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

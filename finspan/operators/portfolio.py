@@ -109,3 +109,9 @@ def liquidity_ladder(held: DataFrame, adv: DataFrame) -> DataFrame:
     g = held.join(adv, "symbol", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.abs("mtm")).alias("value"))
     total = held.agg(F.sum(F.abs("mtm")).alias("gross"))
     return g.join(F.broadcast(total)).select("bucket", "n", F.round("value", 2).alias("value"), F.round(100 * F.col("value") / F.col("gross"), 6).alias("pct"))
+
+
+def blended(mix: DataFrame, proxies: DataFrame) -> DataFrame:
+    """(fund, ret, priced): weighted proxy returns (class, ret) of a mix (fund, class, w) over its priced weight, which is given too."""
+    j = mix.join(proxies, "class", "left").withColumn("known", F.when(F.col("ret").isNotNull(), F.col("w")))
+    return j.groupBy("fund").agg(F.try_divide(F.sum(F.col("w") * F.col("ret")), F.sum("known")).alias("ret"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("priced"))

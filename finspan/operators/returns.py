@@ -114,3 +114,15 @@ def compounded_ytd(returns: DataFrame) -> DataFrame:
     """(ticker, date, ytd): returns of the year compounded up to each date."""
     w = Window.partitionBy("ticker", F.year("date")).orderBy("seq")
     return returns.where("ret is not null").select("ticker", "date", (100 * (F.exp(F.sum(F.log1p(F.col("ret") / 100)).over(w)) - 1)).alias("ytd"))
+
+
+def aliased(prices: DataFrame, unit: DataFrame, aliases: DataFrame) -> DataFrame:
+    """prices (date, ticker, close) with the series of aliased symbols: the alias's closes times unit price over its last close.
+
+    unit: (symbol, unit). Series of symbols that are aliased are replaced. aliases: (symbol, alias), a fixed table.
+    """
+    last = prices.groupBy(F.col("ticker").alias("alias")).agg(F.max_by("close", "date").alias("last"))
+    scale = F.broadcast(aliases).join(last, "alias").join(unit, "symbol").select("symbol", F.col("alias").alias("ticker"), F.try_divide("unit", "last").alias("scale"))
+    new = prices.join(scale, "ticker").select("date", F.col("symbol").alias("ticker"), (F.col("close") * F.col("scale")).alias("close"))
+    own = prices.join(F.broadcast(aliases.select(F.col("symbol").alias("ticker"))), "ticker", "left_anti")
+    return own.select("date", "ticker", "close").union(new)

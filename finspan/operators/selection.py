@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,16 +39,15 @@ def rank_pct(df: DataFrame, group: str, value: str) -> Column:
     return F.when(F.col(value).isNotNull(), place / F.count("*").over(w))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
-
+def near_pairs(df: DataFrame, key: str, group: str, metrics: list[str], radius: float) -> DataFrame:
+    """(block, a, b): pairs of a group with a Euclidean distance of at most radius over the metrics; nulls are near nothing.
 
-def similar_pairs(df: DataFrame, key: str, vector: str, block: str, least: float) -> DataFrame:
-    """(a, b, score) of the pairs within a block whose cosine is at least so much."""
-    a = df.select(block, F.col(key).alias("a"), F.col(vector).alias("u"))
-    b = df.select(block, F.col(key).alias("b"), F.col(vector).alias("v"))
-    return a.join(b, block).where("a < b").select("a", "b", cosine(F.col("u"), F.col("v")).alias("score")).where(F.col("score") >= least)
+    For dimensions such as a universe, whose groups do not grow with the facts.
+    """
+    a = df.select(F.col(group).alias("block"), F.col(key).alias("a"), *(F.col(m).alias(f"x_{m}") for m in metrics))
+    b = df.select(F.col(group).alias("block"), F.col(key).alias("b"), *(F.col(m).alias(f"y_{m}") for m in metrics))
+    far = sum((F.pow(F.col(f"x_{m}") - F.col(f"y_{m}"), F.lit(2)) for m in metrics), F.lit(0.0))
+    return a.join(b, "block").where((F.col("a") < F.col("b")) & (F.sqrt(far) <= radius)).select("block", "a", "b")
 
 
 def leader_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,10 +57,10 @@ def leader_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
 
     def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
+        near: dict = {}
         for a, b in zip(right["a"], right["b"], strict=True):
             near.setdefault(a, []).append(b)
-        leader: dict[int, int] = {}
+        leader: dict = {}
         for k in sorted(left["key"]):
             if k not in leader:
                 leader[k] = k
@@ -71,7 +68,8 @@ def leader_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     leader.setdefault(b, k)
         return pd.DataFrame({"key": list(leader), "leader": list(leader.values())})
 
-    return nodes.groupBy("block").cogroup(edges.groupBy("block")).applyInPandas(run, "key long, leader long")
+    t = nodes.schema["key"].dataType.simpleString()
+    return nodes.groupBy("block").cogroup(edges.groupBy("block")).applyInPandas(run, f"key {t}, leader {t}")
 
 
 def ordinal_split(df: DataFrame, stratum: str, key: str, seed: int, shares: tuple[float, float]) -> DataFrame:
@@ -82,3 +80,53 @@ def ordinal_split(df: DataFrame, stratum: str, key: str, seed: int, shares: tupl
     return df.withColumn("split", F.when(k <= F.floor(n * shares[0]), "train").when(k <= F.floor(n * shares[0]) + F.floor(n * shares[1]), "val").otherwise("test"))
 
 
+def rarity_sample(df: DataFrame, group: str, key: str, least: int, more: int) -> DataFrame:
+    """(group, key, stage): least rows of each group, then more rows by weights inverse to their group's size.
+
+    Draws come from a digest of group and key, so that a sample is the same at every run.
+    """
+    u = (F.conv(F.left(F.md5(F.concat(F.col(group), F.lit("/"), F.col(key))), F.lit(8)), 16, 10).cast("double") + 1) / F.lit(4294967297.0)
+    n = df.groupBy(group).agg(F.count("*").alias("n"))
+    drawn = df.select(group, key, u.alias("u")).join(n, group).withColumn("w", F.round(-F.log("u") * F.col("n"), 9))
+    ranked = drawn.withColumn("first", F.row_number().over(Window.partitionBy(group).orderBy("u", key)) <= least)
+    rest = ranked.where("not first").orderBy("w", group, key).limit(more)
+    return ranked.where("first").select(group, key, F.lit("minimum").alias("stage")).union(rest.select(group, key, F.lit("rarity").alias("stage")))
+
+
+def proportional_allocation(df: DataFrame, group: str, seats: int) -> DataFrame:
+    """(group, n, seats): seats in proportion to the groups' rows, rounded down, the rest by largest remainder.
+
+    There is one row a group when the windows over all of them run.
+    """
+    g = df.groupBy(group).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("total"))
+    g = g.join(F.broadcast(total)).withColumn("exact", F.lit(float(seats)) * F.col("n") / F.col("total")).withColumn("base", F.floor("exact"))
+    k = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), group))
+    left = seats - F.sum("base").over(Window.partitionBy())
+    return g.select(group, "n", (F.col("base") + (k <= left).cast("long")).alias("seats"))
+
+
+def compare_distributions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after, change): shares of the rows of two tables, zero where absent."""
+
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        g = df.groupBy(key).agg(F.count("*").alias("n"))
+        return g.join(F.broadcast(g.agg(F.sum("n").alias("total")))).select(key, (F.col("n") / F.col("total")).alias(name))
+
+    j = shares(before, "before").join(shares(after, "after"), key, "full_outer").fillna(0.0, ["before", "after"])
+    return j.withColumn("change", F.col("after") - F.col("before"))
+
+
+def keep_top(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each key by a total order."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__k") <= n).drop("__k")
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """A join that fails at run time where a key occurs twice on a side."""
+
+    def once(df: DataFrame, side: str) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(key))
+        return df.withColumn("__n", n).where(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.concat(F.lit(f"key repeated on the {side}: "), F.col(key).cast("string"))).cast("boolean"))).drop("__n")
+
+    return once(left, "left").join(once(right, "right"), key, how)

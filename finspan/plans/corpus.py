@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 
 from finspan.functions import text as T
 from finspan.operators import selection as S
+from finspan.operators import similarity as V
+from finspan.plans.sqlbase import registry
 from finspan.sources.panels import rounded, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 SOURCES = """src AS (SELECT c_custkey AS key, c_name AS name, 'customer' AS source, c_acctbal AS value FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier', s_acctbal FROM supplier
@@ -83,27 +74,21 @@ def universe_collapse(spark, sf):
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = b.vec_id % 50 AND a.vec_id < b.vec_id WHERE {COS} >= 0.1")
-def pairwise_similarity(spark, sf):
-    """Pairs of one label and of one of 50 residues with a cosine of 0.1 or more."""
-    e = table(spark, sf, "embeddings").withColumn("block", F.struct("label", (F.col("vec_id") % 50).alias("m")))
-    return rounded(S.similar_pairs(e, "vec_id", "embedding", "block", 0.1))
+def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The query set, every vector whose id is divisible by 20, and all vectors."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return e.where("key % 20 = 0"), e
 
 
-@query()
-def leader_clusters(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("block", F.xxhash64("label", F.col("vec_id") % 50))
-    pairs = S.similar_pairs(e, "vec_id", "embedding", "block", 0.15)
-    edges = pairs.join(e.select(F.col("vec_id").alias("a"), "block"), "a").select("block", "a", "b")
-    return S.leader_groups(e.select("block", F.col("vec_id").alias("key")), edges)
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE {COS} >= 0.3")
+def pairwise_similarity(spark, sf):
+    """Neighbours of the query set among all vectors: a cosine of 0.3 or more."""
+    return rounded(V.search(*vectors(spark, sf), 0.3))
 
 
-@query(f"SELECT a.vec_id, round(1 - avg(abs({COS})), 6) AS uniqueness FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = b.vec_id % 50 AND a.vec_id <> b.vec_id GROUP BY 1")
+@query(f"SELECT a.vec_id, round(1 - avg(abs({COS})), 6) AS uniqueness FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1")
 def uniqueness_score(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("block", F.struct("label", (F.col("vec_id") % 50).alias("m")))
-    a, b = e.select("block", "vec_id", F.col("embedding").alias("u")), e.select("block", F.col("vec_id").alias("other"), F.col("embedding").alias("v"))
-    j = a.join(b, "block").where("vec_id <> other").withColumn("c", F.abs(S.cosine(F.col("u"), F.col("v"))))
-    return rounded(j.groupBy("vec_id").agg((1 - F.avg("c")).alias("uniqueness")))
+    return rounded(V.uniqueness(*vectors(spark, sf))).withColumnRenamed("key", "vec_id")
 
 
 @query(

@@ -6,22 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finspan.operators import returns as R
-from finspan.plans.sqlbase import CROSS, UNIVERSE, history, panel
+from finspan.plans.sqlbase import CROSS, UNIVERSE, history, panel, registry
 from finspan.sources import panels as P
 from finspan.sources.panels import rounded
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def rets(spark: SparkSession, sf: str, grain: str = "week", key: str = "p_brand") -> DataFrame:

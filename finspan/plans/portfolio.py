@@ -8,22 +8,11 @@ from pyspark.sql import functions as F
 from finspan.operators import portfolio as O
 from finspan.operators import returns as R
 from finspan.plans.market import FACTORS, MARKET, TRAIL, factors, market, rets
-from finspan.plans.sqlbase import LOTS, TAGS, history
+from finspan.plans.sqlbase import LOTS, TAGS, history, registry
 from finspan.sources import panels as P
 from finspan.sources.panels import rounded
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def latest(spark: SparkSession, sf: str) -> DataFrame:

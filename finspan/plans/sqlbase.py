@@ -1,5 +1,9 @@
 """SQL of the views, for the queries' twins."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
 
 def panel(grain: str = "week", key: str = "p_brand") -> str:
     return f"""SELECT CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS date, {key} AS ticker,
@@ -28,3 +32,20 @@ FROM part, (VALUES (1), (2)) v(o))"""
 
 CROSS = "p_brand || '/' || p_type"
 UNIVERSE = f"universe AS (SELECT DISTINCT {CROSS} AS ticker, p_type AS tier1, p_brand AS tier2 FROM part)"
+
+
+def registry() -> tuple[dict, dict[str, str], Callable]:
+    """A module's queries, their SQL twins, and the decorator that enters both by the function's name."""
+    queries: dict = {}
+    oracles: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, oracles, query
