@@ -52,32 +52,40 @@ def _exploded(df: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
     return df.withColumn("seed", F.explode(seeds)).where("seed is not null")
 
 
-def agrees(item: Column, part: Column, first: Column) -> Column:
-    """Whether some window of the item agrees enough; part: the document's tokens on the diagonal, from the item's token first on."""
-    same = F.transform(item, lambda x, i: F.when(F.get(part, i - first) == x, 1).otherwise(0))
+def agrees(item: Column, h: Column, shift: Column) -> Column:
+    """Whether some window of the item agrees enough with the document's tokens on the diagonal: item position plus shift.
+
+    The comparison is bound to a lambda's variable, as the optimizer would else repeat it for each window.
+    """
+    first = F.greatest(F.lit(0), -shift)
     width = F.least(F.lit(SPAN), F.size(item))
-    sums = F.transform(F.sequence(F.lit(0), F.size(item) - width), lambda i: F.aggregate(F.slice(same, i + 1, width), F.lit(0), lambda a, x: a + x))
-    return F.array_max(sums) * 100 >= PERCENT * width
+    n = F.least(F.size(item) - first, F.size(h) - first - shift)
+    same = F.zip_with(F.slice(item, first + 1, n), F.slice(h, first + shift + 1, n), lambda a, b: (a == b).cast("int"))
+    padded = F.concat(F.array_repeat(F.lit(0), first), same, F.array_repeat(F.lit(0), F.size(item) - first - n))
+    window = lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - width + 1), lambda i: F.aggregate(F.slice(s, i, width), F.lit(0), lambda a, x: a + x))
+    return F.get(F.transform(F.array(padded), lambda s: F.array_max(window(s))), F.lit(0)) * 100 >= PERCENT * width
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, item_id): distinct pairs of documents (row, text) and benchmark items (item_id, text) that overlap.
 
     Null and empty texts have no tokens and match nothing. Items of one text all match; rows without item_id are ignored.
+    The hits are first brought down to distinct diagonals, which then meet the tokens of their documents again. The plan
+    of docs must give the same rows when it is run again.
     """
     items = written(benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") > 0).distinct(), "items")
     least = min(m[-1] for m in MASKS) + 1
     lengths = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") < least).distinct().collect())  # fewer than the shortest mask takes
     seeds = written(_exploded(items.withColumnRenamed("item", "h"), lengths, whole=True).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
-    positions = _exploded(docs.select("row", tokens(F.col("text")).alias("h")), lengths, whole=False)
+    positions = _exploded(docs.select("row", tokens(F.col("text")).alias("h")), lengths, whole=False).select("row", "at", "seed")
     hits = positions.join(F.broadcast(seeds) if small else seeds, "seed")
-    hits = hits.join(F.broadcast(items) if small else items, "item_id")
-    shift = F.col("at") - F.col("item_at")
-    first = F.greatest(F.lit(0), -shift)
-    part = F.slice(F.col("h"), F.greatest(F.lit(0), shift) + 1, F.size("item"))
-    on_diagonal = hits.select("row", "item_id", "item", first.alias("first"), part.alias("part"))
-    return on_diagonal.where(agrees(F.col("item"), F.col("part"), F.col("first"))).select("row", "item_id").distinct()
+    diagonals = written(hits.select("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "diagonals")
+    few = diagonals.count() <= common.BROADCAST_IDS
+    hit = diagonals.select("row").distinct()
+    again = docs.join(F.broadcast(hit) if few else hit, "row", "left_semi").select("row", tokens(F.col("text")).alias("h"))
+    again = again.join(F.broadcast(diagonals) if few else diagonals, "row").join(F.broadcast(items) if small else items, "item_id")
+    return again.where(agrees(F.col("item"), F.col("h"), F.col("shift"))).select("row", "item_id").distinct()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
