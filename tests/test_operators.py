@@ -2,11 +2,14 @@
 
 import datetime
 
+import numpy as np
 import pytest
+from finspan.functions import labels as L
 from finspan.functions import text as T
 from finspan.operators import portfolio as O
 from finspan.operators import returns as R
 from finspan.operators import selection as S
+from finspan.operators import similarity as V
 from finspan.sources import sinks
 from pyspark.sql import functions as F
 
@@ -139,3 +142,59 @@ def test_sinks_can_run_again(spark, tmp_path):
 def test_empty_tables(spark):
     r = returns(spark, {})
     assert r.count() == 0 and R.streaks(r).count() == 0 and R.annualized_vol(r).count() == 0
+
+
+def test_search_finds_what_plain_code_finds(spark):
+    rng = np.random.default_rng(4)
+    vs = {k: rng.normal(size=6).tolist() for k in range(60)} | {60: [0.0] * 6}
+    df = spark.createDataFrame([*vs.items(), (61, None)], "key long, vector array<double>")
+    queries = df.where("key % 5 = 0")
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v in vs.items()}
+    cos = {(a, b): float(unit[a] @ unit[b]) for a in unit for b in unit if a % 5 == 0 and a != b}
+    assert {(r.a, r.b) for r in V.search(queries, df, 0.5).collect()} == {k for k, v in cos.items() if v >= 0.5}
+    got = {r.key: r.uniqueness for r in V.uniqueness(queries, df).collect()}
+    assert got.keys() == {k for k in vs if k % 5 == 0}
+    assert all(abs(v - (1 - np.mean([abs(c) for (a, _), c in cos.items() if a == k]))) < 1e-9 for k, v in got.items())
+
+
+def test_one_to_one_join_fails_on_a_repeated_key(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), spark.createDataFrame([(1, "p")], "k long, w string")
+    assert {(r.k, r.w) for r in S.join_one_to_one(a, b, "k", "left").collect()} == {(1, "p"), (2, None)}
+    with pytest.raises(Exception, match="key repeated"):
+        S.join_one_to_one(a, b.union(b), "k", "left").collect()
+
+
+def test_near_pairs_lead_groups(spark):
+    df = spark.createDataFrame([("a", "g", 0.0, 0.0), ("b", "g", 0.6, 0.8), ("c", "g", 1.5, 0.8), ("d", "h", 0.0, 0.0), ("e", "g", None, 0.0)], "t string, g string, x double, y double")
+    pairs = S.near_pairs(df, "t", "g", ["x", "y"], 1.0)
+    assert {(r.a, r.b) for r in pairs.collect()} == {("a", "b"), ("b", "c")}
+    nodes = df.select(F.col("g").alias("block"), F.col("t").alias("key"))
+    assert {r.key: r.leader for r in S.leader_groups(nodes, pairs).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+
+
+def test_seats_and_samples(spark):
+    df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(2)] + [("c", 0)], "g string, k long")
+    assert {r.g: r.seats for r in S.proportional_allocation(df, "g", 4).collect()} == {"a": 3, "b": 1, "c": 0}
+    drawn = S.rarity_sample(df, "g", "k", 1, 3).collect()
+    assert sorted(r.g for r in drawn if r.stage == "minimum") == ["a", "b", "c"] and sum(r.stage == "rarity" for r in drawn) == 3
+
+
+def test_answers_labels_and_days(spark):
+    df = spark.createDataFrame([('```json\n{"label": "x",}\n```',), ('so {"label":"y"} it is',), ("none",), (None,)], "s string")
+    assert [r[0] for r in df.select(T.answer_field(F.col("s"), "label")).collect()] == ["x", "y", None, None]
+    df = spark.createDataFrame([(" NaN ",), ("Unable to say",), ("Equity",), (None,), ("",)], "s string")
+    assert [r[0] for r in df.select(L.valid_label(F.col("s"))).collect()] == [False, False, True, False, False]
+    df = spark.createDataFrame([("AAPL",), ("CASH",), ("12345678X",), ("AB C",), (None,)], "s string")
+    assert [r[0] for r in df.select(L.symbol_kind(F.col("s"))).collect()] == ["ticker", "cash", "identifier", "derivative", "ticker"]
+    df = spark.sql("select date'2024-03-01' a, date'2024-03-04' b, date'2024-03-03' c")
+    assert df.select(L.business_days(F.col("a"), F.col("b")), L.business_days(F.col("b"), F.col("a")), L.business_days(F.col("a"), F.col("c"))).first()[:] == (1, -1, 0)
+
+
+def test_aliased_and_blended(spark):
+    prices = spark.createDataFrame([(1, "A", 10.0), (2, "A", 11.0), (2, "F", 99.0)], "date int, ticker string, close double")
+    unit = spark.createDataFrame([("F", 22.0)], "symbol string, unit double")
+    out = R.aliased(prices, unit, spark.createDataFrame([("F", "A")], "symbol string, alias string"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A", 10.0), (1, "F", 20.0), (2, "A", 11.0), (2, "F", 22.0)]
+    mix = spark.createDataFrame([("f", "x", 0.5), ("f", "y", 0.3), ("f", "z", 0.2), ("g", "z", 1.0)], "fund string, class string, w double")
+    got = {r.fund: (r.ret, r.priced) for r in O.blended(mix, spark.createDataFrame([("x", 2.0), ("y", -1.0)], "class string, ret double")).collect()}
+    assert abs(got["f"][0] - 0.7 / 0.8) < 1e-9 and got["g"] == (None, 0.0)
