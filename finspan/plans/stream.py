@@ -17,10 +17,10 @@ def _folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _run(stream: DataFrame, keys: list[str]) -> DataFrame:
+def _run(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     spark = stream.sparkSession
     folder = _folder(spark)
-    E.upsert_stream(stream, f"{folder}/table", f"{folder}/checkpoint", keys)
+    E.upsert_stream(stream, f"{folder}/table", f"{folder}/checkpoint", keys, mode)
     return spark.read.parquet(f"{folder}/table")
 
 
@@ -32,8 +32,16 @@ def stream_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _run(E.runs(E.read(spark, sf)), ["user_id"])
 
 
-QUERIES = {"stream_flash": stream_flash, "stream_runs": stream_runs}
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a stream that sends each of them twice, once each."""
+    e = E.read(spark, sf)
+    once = E.distinct_events(e.union(e), late="60 days").select("event_id", "user_id", "event_type")
+    return _run(once, ["event_id"], "append")
+
+
+QUERIES = {"stream_flash": stream_flash, "stream_runs": stream_runs, "stream_dedup": stream_dedup}
 ORACLES = {
+    "stream_dedup": "SELECT event_id, user_id, event_type FROM events",
     "stream_flash": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "stream_runs": """WITH e AS (SELECT user_id, value, row_number() OVER w AS k, sign(value - lag(value) OVER w) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS back, first_value(s) OVER (PARTITION BY user_id ORDER BY k DESC) AS last_s FROM e),
