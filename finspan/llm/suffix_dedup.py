@@ -34,6 +34,8 @@ WIDTH, K = 200, 64
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: An anchor with more runs than this is dealt again, by so many neighbouring windows.
 HOT, SLICE = 10_000, 8
+#: A key with more than this share of all rows is joined by broadcast; there can be but its inverse of them.
+HOT_SHARE = 1 / 1000
 #: Bytes that are sorted together, at least (to the end of an anchor), and suffixes in a bucket, about.
 SORT_BYTES, BUCKET = 4 << 20, 1 << 17
 #: Rows that are broadcast at most; with more, texts are shuffled.
@@ -240,16 +242,27 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _join_hot(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with found (one row for each keys; n: how many of the total rows have them) on keys, without n.
+
+    Keys with more than HOT_SHARE of the rows, of which there can be but its inverse, are broadcast; the others are shuffled.
+    """
+    frequent = F.col(n) > HOT_SHARE * total
+    hot, cold = F.broadcast(found.where(frequent).drop(n)), found.where(~frequent).drop(n)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, spans) for the rows (row, text as binary) with repeated bytes; spans: start and end pairs as 64-bit integers, ascending, apart.
 
     row must be distinct. The plan of rows must give the same rows when it is run again.
     """
     runs = written(rows.mapInArrow(_all_runs, "key bigint, own bigint, row bigint, start bigint, size int, to_anchor int"), "runs")
-    twice = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("key", F.expr("a <> b").alias("mixed"), (F.expr("a <> b") & (F.col("n") > HOT)).alias("hot"))
-    some = written(runs.join(twice, "key"), "candidates")
+    twice = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("key", "n", F.expr("a <> b").alias("mixed"), (F.expr("a <> b") & (F.col("n") > HOT)).alias("hot"))
+    total = runs.count()
+    some = written(_join_hot(runs, written(twice, "repeated-keys"), ["key"], "n", total), "candidates")
     equal = written(some.groupBy("key", "own").agg(F.count("*").alias("same"), F.min(F.struct("row", "start", "size", "to_anchor")).alias("r"), F.first("mixed").alias("mixed"), F.first("hot").alias("hot")), "equal")
-    full = some.join(equal.where("same > 1").select("key", "own"), ["key", "own"]).select("row", F.col("start").alias("a"), (F.col("start") + F.col("size") + (WIDTH - 1)).alias("b"))
+    full = _join_hot(some, equal.where("same > 1").select("key", "own", "same"), ["key", "own"], "same", total).select("row", F.col("start").alias("a"), (F.col("start") + F.col("size") + (WIDTH - 1)).alias("b"))
     ask = "struct(key, own, start, size, to_anchor, hot) as r"
     asked = equal.where("mixed and not hot").selectExpr("r.row as row", "struct(key, own, r.start as start, r.size as size, r.to_anchor as to_anchor, hot) as r")
     asked = asked.union(some.where("hot").selectExpr("row", ask)).groupBy("row").agg(F.collect_list("r").alias("asked"))
