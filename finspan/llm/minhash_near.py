@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, coordina
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs without the rows that near_duplicates does not keep, and with one row of each doc_id; columns are kept."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
     ids = rows.select("__row", F.col("doc_id").cast("bigint").alias("doc_id"))
     first = ids.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
     return common.by_row(rows, first.union(ids.where("doc_id is null").select("__row")), "left_semi")

@@ -1,11 +1,12 @@
 import base64
+import re
 
 import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers as P
 import tiktoken
 from tests.llm import test_decontaminate, test_line_dedup, test_minhash_near, test_quality_divergence
-from tests.llm.helpers import SF, save_docs
+from tests.llm.helpers import DOCS, SF, save_docs
 
 
 def test_stages_against_plain_code(spark, tmp_path):
@@ -52,3 +53,32 @@ def test_run_and_edges(spark, tmp_path):
     save_docs(spark, tmp_path / "none", [])
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_stage_joins_from_80_percent(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"]).collect()]
+    text = [f"n{i}" for i in range(204)]  # 200 windows of five words
+    rows += [(10**6, " ".join(text)), (10**6 + 1, " ".join(text[20:]))]  # 180 of 200 windows: 0.9
+    rows += [(10**6 + 2, " ".join(["m", *text[39:]])), (10**6 + 3, " ".join(text[:100]))]  # 0.8 and more of the second only; 0.48
+    sets = {}
+    for d, t in rows:
+        w = re.split("[\x20\x09-\x0d]+", (t or "").lower().strip("\x20\x09\x0a\x0b\x0c\x0d"))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w != [""] else set()
+    parent = {d: d for d in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    between = 0
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                between += 100 * both < 85 * (len(sets[a]) + len(sets[b]) - both)
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCS)
+    out = cp.near_deduplication(spark, docs, SF)
+    assert between and sorted(r.doc_id for r in out.collect()) == sorted(d for d in sets if top(d) == d)
