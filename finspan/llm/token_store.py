@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -183,7 +184,7 @@ def _records(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent, end = _encoder(path).encode, set(), np.array([end_id], "<u2").tobytes()
-        row = 0
+        row, task = 0, TaskContext.get().partitionId()  # rows of a task have keys of their own, also once it is run again
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x.as_buffer() for x in batch.column(1)]
             sizes = np.cumsum([x.size for x in texts]) >> 22
@@ -203,7 +204,7 @@ def _records(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         lengths.append(stop - begin)
                         begin = stop
                     row += 1
-                    key = digest(b"%d %r" % (row, ids[i]) + digests[0])
+                    key = digest(b"%d %d %r" % (task, row, ids[i]) + digests[0])
                     out.append((0, key, ids[i], len(stream) // 2, np.array(lengths, "<u4").tobytes(), merkle(digests), b"".join(digests)))
                 kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "key", "doc_id", "n_tokens", "sizes", "root", "data"])

@@ -65,3 +65,17 @@ def test_cuts_follow_content():
     a, b = ts.cuts(ids), ts.cuts(np.concatenate([ids[:100], ids[150:]]))
     assert a[-1] == 20000 and max(np.diff([0, *a])) <= ts.MOST
     assert len({x - 50 for x in a} & set(b)) > 0.8 * len(a)
+
+
+def test_repeated_rows_in_several_partitions_stay(spark, tmp_path):
+    rows = [(None, None), (None, ""), (4, "one text"), (4, "one text"), (None, "another text"), (7, "last")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert docs.union(docs).union(docs).rdd.getNumPartitions() > 1
+    store = str(tmp_path / "store")
+    ts.write_store(docs.union(docs).union(docs), store, PATH)
+    got = sorted((tuple(r) for r in ts.digests(spark, store).collect()), key=lambda r: r[1])
+    want = brute(rows * 3)
+    assert len(got) == len(want) and sorted((str(d), n, c) for d, _, n, c in got) == sorted((str(d), n, c) for d, _, n, c in want)
+    assert [s for _, s, _, _ in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+    assert len({r[0] for r in spark.read.parquet(f"{store}/raw").where("kind = 1").select("key").collect()}) == ts._chunks(spark, store).count()
