@@ -84,32 +84,52 @@ def _share(counts: Column, total: Column) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """Per row of docs (row, doc_id, text, lang; row distinct): row, doc_id, the base counts, js_chars, js_words (distances, null where not judged), base_failed, kept.
 
-    Documents without a language have references of their own. An empty or null text has no words and fails the base rule.
-    The plan of docs must give the same rows when it is run again.
+    A document without a language (null or empty) is held against every language's references and judged by those of the
+    least divergence, of words first; only where no document has a language are the references those of all documents. An
+    empty or null text has no words and fails the base rule. The plan of docs must give the same rows when it is run again.
     """
     docs = docs.select("row", "doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    named = bool(docs.where("lang <> ''").select("lang").take(1))
     words = docs.select("row", "lang", words_of(F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("w"))
     short = F.explode(F.filter(F.array_distinct("w"), lambda x: (F.length(x) <= LETTERS) & x.rlike(r"^\p{L}+$")))
-    df = words.select("lang", short.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    df = (words.where("lang <> ''") if named else words).select("lang", short.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     common_words = written(df.withColumn("nth", nth).where(F.col("nth") <= COMMON).select("lang", "word", "nth"), "common-words")
+    if named:  # to documents without a language, all these words are told, numbered through
+        any_word = common_words.select("word").distinct().select(F.lit("").alias("lang"), "word", F.row_number().over(Window.orderBy("word")).alias("nth"))
+        common_words = written(common_words.union(any_word), "words-told")
 
     told = words.select("row", "lang", F.explode("w").alias("word")).join(F.broadcast(common_words), ["lang", "word"])  # COMMON rows a language
     told = told.groupBy("row", "nth").agg(F.count("*").alias("n")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("nth", "n"))).alias("m"))
     bins = F.transform(F.sequence(F.lit(1), F.lit(COMMON)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
     full = base_features(docs).join(told, "row", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>")))
-    full = full.withColumn("b", bins).drop("m")
+    full = full.withColumn("b", bins).withColumn("m", F.when(F.lit(named) & (F.col("lang") == ""), F.col("m")))
     full = full.withColumn("word_bins", F.concat("b", F.array(F.col("n_words") - F.aggregate("b", F.lit(0.0), lambda a, x: a + x)))).drop("b")
     full = written(full.withColumn("char_bins", F.array(*(F.col(c).cast("double") for c in CLASSES))), "features")
 
     sums = [F.sum(F.col("char_bins")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("word_bins")[i]).alias(f"w{i}") for i in range(COMMON + 1)]
-    ref = full.groupBy("lang").agg(*sums)
+    of_lang = full.where("lang <> ''") if named else full
+    ref = of_lang.groupBy("lang").agg(*sums)
     c, w = F.array(*(f"c{i}" for i in range(len(CLASSES)))), F.array(*(f"w{i}" for i in range(COMMON + 1)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     ref = ref.select("lang", c.alias("c"), w.alias("w")).select("lang", _share(F.col("c"), total(F.col("c"))).alias("ref_chars"), _share(F.col("w"), total(F.col("w"))).alias("ref_words"))
-    out = full.join(ref, "lang")
-    out = out.withColumn("jc", F.when(F.col("chars") >= MIN_CHARS, F.greatest(F.lit(0.0), js(_share(F.col("char_bins"), F.col("chars")), F.col("ref_chars")))))
-    out = out.withColumn("jw", F.when(F.col("n_words") >= MIN_WORDS, F.greatest(F.lit(0.0), js(_share(F.col("word_bins"), F.col("n_words")), F.col("ref_words")))))
+    jc = lambda ref: F.when(F.col("chars") >= MIN_CHARS, F.greatest(F.lit(0.0), js(_share(F.col("char_bins"), F.col("chars")), ref)))
+    jw = lambda bins, ref: F.when(F.col("n_words") >= MIN_WORDS, F.greatest(F.lit(0.0), js(_share(bins, F.col("n_words")), ref)))
+    out = of_lang.join(ref, "lang").withColumn("jc", jc(F.col("ref_chars"))).withColumn("jw", jw(F.col("word_bins"), F.col("ref_words")))
+    if named:
+        told_as = common_words.where("lang = ''").select("word", F.col("nth").alias("told"))
+        at = common_words.where("lang <> ''").join(F.broadcast(told_as), "word").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("nth", "told"))).alias("told"))
+        at = F.broadcast(ref.join(at, "lang", "left").agg(F.collect_list(F.struct("lang", "told", "ref_chars", "ref_words")).alias("refs")))  # a row in all
+
+        def from_language(r: Column) -> Column:
+            b = F.transform(F.sequence(F.lit(1), F.lit(COMMON)), lambda i: F.coalesce(F.try_element_at("m", F.try_element_at(r["told"], i)), F.lit(0)).cast("double"))
+            all_bins = F.concat(b, F.array(F.col("n_words") - F.aggregate(b, F.lit(0.0), lambda a, x: a + x)))
+            return F.struct(jw(all_bins, r["ref_words"]).alias("jw"), jc(r["ref_chars"]).alias("jc"))
+
+        least = full.where("lang = ''").crossJoin(at).withColumn("least", F.array_min(F.transform("refs", from_language)))
+        least = least.withColumn("jc", F.col("least.jc")).withColumn("jw", F.col("least.jw"))
+        names = ["row", "doc_id", "chars", "word_chars", "symbol", "n_dup_lines", "n_words", "n_repeat_words", "jc", "jw"]
+        out = out.select(*names).union(least.select(*names))
     noise = lambda k, n: F.lit((k - 1) / 8 / 0.6931) / n  # noqa: E731  what a sample of n differs by, on average
     good = F.coalesce(F.col("jc") <= MAX_CHARS + noise(len(CLASSES), F.col("chars")), F.lit(True)) & F.coalesce(F.col("jw") <= MAX_WORDS + noise(COMMON + 1, F.col("n_words")), F.lit(True))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

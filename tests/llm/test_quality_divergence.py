@@ -85,3 +85,34 @@ def test_edges(spark, tmp_path):
     save_docs(spark, tmp_path / "none", [])
     assert qd.op3_quality_divergence(spark, str(tmp_path / "none")).count() == 0
     assert qd.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet")).columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
+
+
+def test_clean_documents_without_a_language_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"]).orderBy("doc_id").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    lost = [(d, t, lang if d % 4 else (None, "")[d % 8 // 4]) for d, t, lang in rows]
+    judged = lambda x: {r.doc_id: r for r in qd.judge(spark.createDataFrame(x, "doc_id bigint, text string, lang string").selectExpr("doc_id as row", "*")).collect()}
+    given, got = judged(rows), judged(lost)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    clean = [(d, lang) for d, _, lang in rows if d % 4 == 0 and given[d].kept and labels.get(d) != 0]
+    assert len({lang for _, lang in clean}) == len({lang for _, _, lang in rows})
+    assert [d for d, _ in clean if not got[d].kept] == [] and len(got) == len(rows)
+    known = [r for r in lost if r[2]]
+    for d, t, lang in lost:
+        if not lang and given[d].js_words is not None:  # as one more document of a language, it would count in its reference
+            w = [x for x in re.split(SPACES, t.lower()) if x]
+            best = min((js(*reference(known, k, w)), k) for k in {r[2] for r in known})[0]
+            assert abs(got[d].js_words - best) < 1e-6
+
+
+def reference(rows, lang, w):
+    """Shares of the language's common words, and the other words, in the words w and in all its rows."""
+    docs = [[x for x in re.split(SPACES, (t or "").lower()) if x] for _, t, k in rows if k == lang]
+    df = collections.Counter(x for d in docs for x in {x for x in d if len(x) <= qd.LETTERS and x.isalpha()})
+    top = [x for x, _ in sorted(df.items(), key=lambda x: (-x[1], x[0].encode()))[: qd.COMMON]]
+    out = []
+    for words in (w, [x for d in docs for x in d]):
+        c = collections.Counter(words)
+        own = [c[x] for x in top]
+        out.append([v / len(words) for v in [*own, *[0] * (qd.COMMON - len(top)), len(words) - sum(own)]])
+    return out
