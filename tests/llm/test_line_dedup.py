@@ -65,3 +65,49 @@ def test_blank_lines_at_the_ends_of_a_block_stay():
     k, n = ld.line_keys(("x" * 50 + "\n\n" + "tail").encode())
     k2, _ = ld.line_keys(("x" * 50 + "\n\n" + "other").encode())
     assert ld.removed(k, n, k2) == [0] and isinstance(k, np.ndarray)
+
+
+def against_all(rows):
+    """Rows as op8 must return them where each doc_id has one text: each aligned with every earlier document that shares a line."""
+    keyed = {d: ld.line_keys(t.encode()) for d, t in rows if d is not None and t}
+    out = []
+    for d, t in rows:
+        gone = set()
+        for f in keyed if d in keyed else ():
+            if f < d and set(keyed[f][0].tolist()) & set(keyed[d][0].tolist()) - {0}:
+                gone |= set(ld.removed(*keyed[d], keyed[f][0]))
+        left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+        out.append((d, None if t is None else len(left), len(gone), None if t is None else hashlib.sha256(left.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_blocks_of_any_earlier_document_go(spark, tmp_path):
+    a, b, c, e = (f"{x} thirty bytes and some more.." for x in "abce")
+    long = [f"line {i} of forty bytes and more, on its own" for i in range(4)]
+    texts = [f"{a}\n1", f"{b}\n2", f"{a}\n{b}\n3", f"{a}\n{b}\n4"]  # both lines of the block were first seen apart
+    texts += ["x: 1\ny: 2\n" + "\n".join(f"s{i}" for i in range(20)), "own\n" + "\n".join(f"s{i}" for i in range(20)) + "\nend"]  # short lines only
+    texts += [f"{long[0]}\n{long[1]}", f"{long[1]}\nq\n{long[0]}", f"{long[1]}\nr\n{long[0]}"]  # in crossing order in the first holder
+    texts += [long[2], f"{long[2]}\nu\n{long[2]}", f"{long[2]}\nv\n{long[2]}"]  # more than once
+    texts += [f"{long[3]}\nend", f"{long[3]}\ntail\nw", f"{long[3]}\ntail\nz", f"{c}\nab\n{e}", f"k\n{c}\nab\n{e}"]  # a line beside a block
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    got = ld.op8_line_dedup(spark, save_docs(spark, tmp_path, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == against_all(rows)
+    assert all({r.doc_id: r.removed_lines for r in got}[d] for d in (4, 6, 9, 12, 15, 17))
+
+
+def test_whole_table_against_all_earlier_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in ld.op8_line_dedup(spark, SF).collect()), key=str) == against_all(rows)
+
+
+def test_runs_cover_every_block():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        sizes = r.choice([0, 5, 15, 25, 39, 40, 60], r.integers(1, 12)).astype(np.int32)
+        h, first, last = ld.runs(np.where(sizes > 0, r.integers(1, 9, len(sizes)), 0), sizes)
+        assert all(sizes[i:j].sum() >= ld.BLOCK_BYTES for i, j in zip(first, last))
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):
+                if sizes[i:j].sum() >= ld.BLOCK_BYTES:
+                    inside = {k for a, b in zip(first, last) if i <= a and b <= j for k in range(a, b)}
+                    assert set(i + np.flatnonzero(sizes[i:j])) <= inside
