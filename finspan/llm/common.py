@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
 
 import numpy as np
@@ -23,12 +22,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's path inside the shared checkpoint folder that the session names.
 
-    Where the session names none (tests on one machine), a local folder is set for it.
+    Where the session names none, a folder of the warehouse is taken, which all executors share too.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = os.path.join(tempfile.gettempdir(), "finspan-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.finspan"
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -41,6 +37,40 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes and rows of an Arrow batch, at most: what a Python worker holds of its input at one time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session cut Arrow batches to BATCH_BYTES and BATCH_ROWS, unless it has them smaller already."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * _UNITS[unit] <= most:
+            spark.conf.set(key, str(most))
+
+
+#: Of all rows, a key with more than this share is salted or joined by broadcast; there can be but its inverse of them.
+HOT_SHARE = 1 / 1000
+#: Rows of one key that meet in one task in any case.
+PER_COPY = 1_000
+
+
+def salted_join(rows: DataFrame, others: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with others on key, the rows of a frequent key dealt by a hash of their column `by`.
+
+    The others' rows of such a key are copied as often as its rows are dealt. rows is run twice.
+    """
+    most = max(PER_COPY, rows.count() * HOT_SHARE)
+    hot = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__copies")).where("__copies > 1")
+    hot = F.broadcast(written(hot, "hot"))  # 1 / HOT_SHARE rows at most
+    copies = F.coalesce("__copies", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), copies).cast("int")).drop("__copies")
+    copied = others.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+
+
 #: So many row numbers or ids are broadcast at most; beyond, both sides of a join are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -57,6 +87,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_IS_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 _A = np.uint64(0x9E3779B97F4A7C15 | 1)
 _A_INV = np.uint64(pow(int(_A), -1, 2**64))
 
@@ -83,11 +114,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, lower: bool = True, marks: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of the words in an array of UTF-8 bytes.
 
     Separators are the ASCII white-space bytes; A-Z are lower-cased if asked for. Equal words
-    have equal hashes wherever they stand.
+    have equal hashes wherever they stand. A last byte of a word that is in marks, behind an ASCII letter or digit, is left out.
     """
     if not len(raw):
         none = np.zeros(0, np.int64)
@@ -97,6 +128,10 @@ def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.nda
     space[1:-1] = _IS_SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[0::2], edge[1::2]
+    if marks:
+        some = np.zeros(256, bool)
+        some[list(marks)] = True
+        ends = ends - ((ends - starts > 1) & some[raw[ends - 1]] & _IS_ALNUM[raw[ends - 2]])
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * down[:-1], out=total[1:])

@@ -6,7 +6,9 @@ in such a run, so that each is met at a document that has all of the run. A docu
 least doc_id) of each of its seeds, rare or not, so that a common one costs one pair for each document. The two are
 aligned by patience diff; runs of aligned lines of at least BLOCK_BYTES bytes are deleted from the later one. Seeds of
 which lines are left (as the holder has them in another order, or more than once) are then paired with their other earlier
-holders, in rounds that grow, until no line is left or no earlier holder untried. All pairs are aligned on the input.
+holders, in rounds that grow, until no line is left or no earlier holder untried. For seeds of more than MANY documents that
+would take pairs by the square; of these, what the first holder leaves is aligned by itself, a run with the first holder's
+same run, and deleted as well. All pairs are aligned on the input.
 """
 
 from __future__ import annotations
@@ -26,10 +28,8 @@ from finspan.llm.common import written
 
 #: SEED_BYTES is the earlier rule's, which a test still names; seeds have BLOCK_BYTES.
 SEED_BYTES, BLOCK_BYTES = 20, 40
-#: Of all line rows, a line with more than this share is joined by broadcast; there can be but its inverse of them.
-HOT_SHARE = 1 / 1000
-#: Holders of one seed that are numbered in one group.
-PER_SALT = 200
+#: A seed of more documents than this is paired with its first holder only; what is left of it is aligned by itself.
+MANY = 100
 _SPACES = common.SPACES
 
 
@@ -132,29 +132,61 @@ def left_runs(keys: np.ndarray, sizes: np.ndarray, gone: list[int]) -> np.ndarra
     return np.unique(h[left[last] > left[first]])
 
 
-def _seeds(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, lines, sizes, mark: a hash of the lines) of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, used = batch.column(0).to_numpy(), [], []
-            for x in batch.column(1):
-                k, n = line_keys(x.as_buffer().to_pybytes())
-                k = np.unique(runs(k, n)[0])
-                keys.append(k)
-                used.append(len(k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, used)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["id", "line"])
+            k = [line_keys(x.as_buffer().to_pybytes()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a, _ in k], pa.binary()), pa.array([b.tobytes() for _, b in k], pa.binary()), pa.array([_mark(a) for a, _ in k], pa.binary())], names=["id", "lines", "sizes", "mark"])
 
-    return docs.mapInArrow(run, "id bigint, line bigint")
+    return docs.mapInArrow(run, "id bigint, lines binary, sizes binary, mark binary")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, lines, sizes, mark: a hash of the lines) of one row for each id; of several texts with one id, that of the least hash."""
+def _mark(keys: np.ndarray) -> bytes:
+    return hashlib.blake2b(keys.tobytes(), digest_size=8).digest()
+
+
+def _numbers(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def _seeds(keyed: DataFrame) -> DataFrame:
+    """(id, line) of the runs of each document, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = [line_keys(x.as_buffer().to_pybytes()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a, _ in k], pa.binary()), pa.array([b.tobytes() for _, b in k], pa.binary()), pa.array([hashlib.blake2b(a, digest_size=8).digest() for a, _ in k], pa.binary())], names=["id", "lines", "sizes", "mark"])
+            keys = [np.unique(runs(k, n)[0]) for k, n in zip(_numbers(batch.column(1), np.int64), _numbers(batch.column(2), np.int32), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["id", "line"])
 
-    return docs.mapInArrow(run, "id bigint, lines binary, sizes binary, mark binary")
+    return keyed.select("id", "lines", "sizes").mapInArrow(run, "id bigint, line bigint")
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, mark, lines, sizes, earlier) -> (id, mark, at): lines of the later document to delete."""
+    for batch in batches:
+        found = [removed(k, n, e) for k, n, e in zip(_numbers(batch.column(2), np.int64), _numbers(batch.column(3), np.int32), _numbers(batch.column(4), np.int64), strict=True)]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array([i for x in found for i in x], pa.int32())], names=["id", "mark", "at"])
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lines, sizes, at) -> (id, line): seeds of which a line is left."""
+    for batch in batches:
+        found = [left_runs(k, n, at or []) for k, n, at in zip(_numbers(batch.column(1), np.int64), _numbers(batch.column(2), np.int32), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["id", "line"])
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, mark, lines, sizes, seeds) -> (id, mark, at): the lines of the runs that have these hashes."""
+    for batch in batches:
+        found = []
+        for k, n, seeds in zip(_numbers(batch.column(2), np.int64), _numbers(batch.column(3), np.int32), batch.column(4), strict=True):
+            h, first, last = runs(k, n)
+            here = np.isin(h, seeds.values.to_numpy())
+            found.append(np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first[here], last[here], strict=True)] or [np.zeros(0, np.int64)])))
+        row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(found).astype(np.int32))], names=["id", "mark", "at"])
 
 
 def delete_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -163,90 +195,76 @@ def delete_repeated_lines(docs: DataFrame) -> DataFrame:
     Rows with a null or empty text or without doc_id stay as they are and are never paired. Rows of equal doc_id are not
     compared with each other; a row is compared with one text for each other doc_id, of several the one with the least line keys.
     A document may end up with an empty text. Columns and rows are else kept; a column `removed_lines` is replaced.
+    Texts are read to make line keys, and once more to be rewritten; what is joined is keys, pairs and places of lines.
     """
+    common.small_batches(docs.sparkSession)
     own = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").cast("binary"))
-    seeds = written(_seeds(own), "seeds")
+    keyed = written(_keyed(own), "keyed")
+    seeds = written(_seeds(keyed), "seeds")
     total = seeds.count()
     held = written(seeds.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first", "n"), "held")
 
     def met(rows: DataFrame, held: DataFrame) -> DataFrame:
         """rows (id, line) with what held has for the line; lines of many rows are joined by broadcast."""
-        hot = F.col("n") > HOT_SHARE * total
+        hot = F.col("n") > common.HOT_SHARE * total
         some = F.broadcast(held.where(hot))
         return rows.join(some.select("line"), "line", "left_anti").join(held.where(~hot), "line").select("id", "line", "first", "n").union(rows.join(some, "line").select("id", "line", "first", "n"))
 
-    shared = written(met(seeds, held), "shared").select("id", "line")
-    pairs = written(met(shared, held).where("id > first").select("id", "first").distinct(), "pairs")
-    in_pair = pairs.select("id").union(pairs.select("first")).distinct()
-    keyed = written(_keyed(own.join(in_pair, "id", "left_semi")), "keyed")
-    one = keyed.groupBy("id").agg(F.min("lines").alias("earlier")).withColumnRenamed("id", "first")
-    later = keyed.dropDuplicates(["id", "mark"])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, at = [], [], []
-            for k, a, z, b, mark in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                found = removed(np.frombuffer(a, np.int64), np.frombuffer(z, np.int32), np.frombuffer(b, np.int64))
-                ids += [k] * len(found)
-                texts += [mark] * len(found)
-                at += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(at, pa.int32())], names=["id", "mark", "at"])
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = batch.column(0).to_numpy(), []
-            for a, z, at in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                found.append(left_runs(np.frombuffer(a, np.int64), np.frombuffer(z, np.int32), at or []))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in found])), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["id", "line"])
+    shared = written(met(seeds, held), "shared")
+    pairs = written(shared.where("id > first").select("id", "first").distinct(), "pairs")
+    in_shared = keyed.join(shared.select("id").distinct(), "id", "left_semi")
+    one = in_shared.groupBy("id").agg(F.min("lines").alias("earlier")).withColumnRenamed("id", "first")
+    later = in_shared.dropDuplicates(["id", "mark"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(one, "first").join(later, "id").select("id", "lines", "sizes", "earlier", "mark")
-        return both.mapInArrow(align, "id bigint, mark binary, at int")
+        with_earlier = common.salted_join(pairs, one, "first", "id").select("id", "earlier")
+        return with_earlier.join(later, "id").select("id", "mark", "lines", "sizes", "earlier").mapInArrow(_align, "id bigint, mark binary, at int")
 
     def open_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
         at = gone.groupBy("id", "mark").agg(F.collect_set("at").alias("at"))
-        rows = docs.join(at, ["id", "mark"], "left").select("id", "lines", "sizes", "at").mapInArrow(left, "id bigint, line bigint")
-        return written(met(rows, held).where("id > first").select("id", "line", F.ceil(F.col("n") / PER_SALT).cast("bigint").alias("salts")).distinct(), "open")
+        rows = docs.join(at, ["id", "mark"], "left").select("id", "lines", "sizes", "at").mapInArrow(_left, "id bigint, line bigint")
+        return written(met(rows, held).where("id > first").select("id", "line", "n").distinct(), "open")
 
     gone, tried = written(aligned(pairs), "gone"), pairs
     rows = open_rows(later, gone)
-    # the holders of the seeds that are left, numbered in groups, as a seed can have many
-    salts = rows.groupBy("line").agg(F.max("salts").alias("salts"), F.count("*").alias("n"))
-    holders = met(shared, salts.select("line", F.col("salts").alias("first"), (F.col("salts") * PER_SALT).alias("n"))).select("line", F.col("id").alias("holder"), F.pmod(F.xxhash64("id"), F.col("first")).alias("salt")).distinct()
-    holders = written(holders.withColumn("nth", F.row_number().over(Window.partitionBy("line", "salt").orderBy("holder"))), "holders")
-    most, begin, end = holders.agg(F.max("nth")).first()[0] or 0, 1, 3
-    while begin <= most:
+    # the holders of seeds that are left, of those that few documents have
+    holders = met(shared.select("id", "line"), rows.where(F.col("n") <= MANY).groupBy("line").agg(F.lit(0).cast("bigint").alias("first"), F.max("n").alias("n"))).select("line", F.col("id").alias("holder")).distinct()
+    holders = written(holders.withColumn("nth", F.row_number().over(Window.partitionBy("line").orderBy("holder"))), "holders")
+    begin, end = 1, 3
+    while begin <= MANY:
         some = holders.where((F.col("nth") >= begin) & (F.col("nth") < end))
-        each = rows.select("id", "line", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-        pairs = each.join(some, ["line", "salt"]).where("holder < id").select("id", F.col("holder").alias("first")).distinct()
+        pairs = rows.where(F.col("n") <= MANY).join(some, "line").where("holder < id").select("id", F.col("holder").alias("first")).distinct()
         pairs = written(pairs.join(tried, ["id", "first"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             gone, tried = gone.union(written(aligned(pairs), "gone")), tried.union(pairs)
             rows = open_rows(later.join(rows.select("id").distinct(), "id", "left_semi"), gone)
         begin, end = end, 4 * end
+    # those that many have are aligned by themselves with the first holder's
+    alone = rows.where(F.col("n") > MANY).groupBy("id").agg(F.collect_set("line").alias("seeds"))
+    gone = gone.union(written(later.join(alone, "id").select("id", "mark", "lines", "sizes", "seeds").mapInArrow(_alone, "id bigint, mark binary, at int"), "gone"))
     gone = gone.groupBy("id", "mark").agg(F.collect_set("at").alias("gone"))
     gone = gone.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("mark").alias("k"), F.col("gone").alias("v")))).alias("__gone"))
     names = [c for c in docs.columns if c != "removed_lines"]
-    full = docs.select(*names).join(gone, docs.doc_id.cast("bigint") == gone.id, "left").select(*names, "__gone")
-    kept = full.where("__gone is null").drop("__gone").withColumn("removed_lines", F.lit(0).cast("bigint"))
-    changed = full.where("__gone is not null")
+    key = F.coalesce(docs.doc_id.cast("bigint"), F.xxhash64(docs.text))  # so that rows without doc_id don't meet
+    full = docs.select(*names).join(gone, (key == gone.id) & docs.doc_id.isNotNull(), "left").select(*names, "__gone")
     at_text, at_gone = names.index("text"), len(names)
-    schema = kept.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for x, marks in zip(batch.column(at_text).to_pylist(), batch.column(at_gone).to_pylist(), strict=True):
-                drop: set[int] = set()
-                if x:
-                    a, _ = line_keys(x.encode())
-                    drop = set(dict(marks).get(hashlib.blake2b(a.tobytes(), digest_size=8).hexdigest().upper(), ()))
-                texts.append("\n".join(s for i, s in enumerate(x.split("\n")) if i not in drop) if drop else x)
-                counts.append(len(drop))
-            cols = [pa.array(texts, pa.string()) if i == at_text else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*names, "removed_lines"])
-
-    return kept.unionAll(changed.mapInArrow(rewrite, schema))
+            texts, counts, changed = batch.column(at_text), np.zeros(batch.num_rows, np.int64), {}
+            for i, marks in enumerate(batch.column(at_gone)):
+                x = texts[i].as_py() if marks.is_valid else None
+                drop = set(dict(marks.as_py()).get(_mark(line_keys(x.encode())[0]).hex().upper(), ())) if x else None
+                if drop:
+                    changed[i] = "\n".join(s for k, s in enumerate(x.split("\n")) if k not in drop)
+                    counts[i] = len(drop)
+            if changed:
+                texts = pa.array([changed[i] if i in changed else x.as_py() for i, x in enumerate(texts)], pa.string())
+            cols = [texts if i == at_text else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts)], names=[*names, "removed_lines"])
+
+    schema = docs.select(*names).withColumn("removed_lines", F.lit(0).cast("bigint")).schema
+    return full.mapInArrow(rewrite, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,6 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_whole_table(spark):
-    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    got = sorted((tuple(r) for r in ld.op8_line_dedup(spark, SF).collect()), key=str)
-    assert got == brute(rows) and any(r[2] for r in got)
-
-
 def test_patience():
     r = random.Random(4)
     for _ in range(300):
@@ -111,3 +105,18 @@ def test_runs_cover_every_block():
                 if sizes[i:j].sum() >= ld.BLOCK_BYTES:
                     inside = {k for a, b in zip(first, last) if i <= a and b <= j for k in range(a, b)}
                     assert set(i + np.flatnonzero(sizes[i:j])) <= inside
+
+
+def test_runs_that_many_documents_have_go_wherever_they_stand(spark, tmp_path):
+    x, y = "one line that very many documents have in common", "and another one of the same kind, as long"
+    rows = [(i, f"{x}\n{i}\n{y}") for i in range(ld.MANY + 20)] + [(900, f"{y}\na\n{x}\nb\n{y}"), (901, "nothing of these")]
+    got = {r.doc_id: r for r in ld.op8_line_dedup(spark, save_docs(spark, tmp_path, rows)).collect()}
+    assert got[0].removed_lines == 0 and all(got[i].removed_lines == 2 for i in range(1, ld.MANY + 20))
+    assert got[900].kept_sha256 == hashlib.sha256(b"a\nb").hexdigest() and got[901].removed_lines == 0
+
+
+def test_five_documents_that_share_lines_with_others_first(spark, tmp_path):
+    lines = [f"shared line {i}, long enough to be a seed by itself, as it has 60" for i in range(3)]
+    rows = [(i + 1, f"{x}\nown {i}") for i, x in enumerate(lines)] + [(5, "\n".join(lines)), (9, "\n".join(["begin", *lines, "end"]))]
+    got = {r.doc_id: r.removed_lines for r in ld.op8_line_dedup(spark, save_docs(spark, tmp_path, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 5: 3, 9: 3}
