@@ -34,10 +34,8 @@ WIDTH, K = 200, 64
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: An anchor with more runs than this is dealt again, by so many neighbouring windows.
 HOT, SLICE = 10_000, 8
-#: A key with more than this share of all rows is joined by broadcast; there can be but its inverse of them.
-HOT_SHARE = 1 / 1000
 #: Bytes that are sorted together, at least (to the end of an anchor), and suffixes in a bucket, about.
-SORT_BYTES, BUCKET = 4 << 20, 1 << 17
+SORT_BYTES, BUCKET = 2 << 20, 1 << 17
 #: Rows that are broadcast at most; with more, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -121,28 +119,42 @@ def _hash(*parts: bytes) -> int:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, asked) -> the bytes of the runs asked for, hot ones in slices."""
+    """(row, text, asked) -> the bytes of the runs asked for, hot ones in slices; a few MB at a time."""
+    out: list[tuple] = []
+    size_out = 0
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "own", "row", "start", "size", "to_anchor", "data"])
+
     for batch in batches:
-        out: list[tuple] = []
-        for row, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for row, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             raw = text.as_buffer()
-            for r in asked:
-                key, start, size, to_anchor = r["key"], r["start"], r["size"], r["to_anchor"]
-                if not r["hot"]:
-                    out.append((key, r["own"], row, start, size, to_anchor, raw.slice(start, size + WIDTH - 1).to_pybytes()))
-                    continue
-                a = 0
-                while a < size:  # slices end where the distance to the anchor is a multiple of SLICE
-                    b = min(size, a + (to_anchor - a) % SLICE + 1)
-                    data = raw.slice(start + a, b - a + WIDTH - 1).to_pybytes()
-                    group = (to_anchor - a) // SLICE
-                    first = group * SLICE + SLICE - 1 - (to_anchor - a)  # windows of the slice missing at its front
-                    core = data[SLICE - 1 - first : WIDTH - first]
-                    out.append((_hash(b"%d %d" % (key, group), core), _hash(b"%d " % (to_anchor - a), data), row, start + a, b - a, to_anchor - a, data))
-                    a = b
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        for i in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 20_000], strict=True), kinds, strict=True)], names=["key", "own", "row", "start", "size", "to_anchor", "data"])
+            for r in zip(*(asked.values.field(c).to_pylist() for c in ("key", "own", "start", "size", "to_anchor", "hot")), strict=True):
+                for x in _of_run(raw, row, *r):
+                    out.append(x)
+                    size_out += len(x[-1])
+                    if size_out >= common.BATCH_BYTES:
+                        yield full()
+                        out.clear()
+                        size_out = 0
+    if out:
+        yield full()
+
+
+def _of_run(raw: pa.Buffer, row: int, key: int, own: int, start: int, size: int, to_anchor: int, hot: bool) -> Iterator[tuple]:
+    if not hot:
+        yield key, own, row, start, size, to_anchor, raw.slice(start, size + WIDTH - 1).to_pybytes()
+        return
+    a = 0
+    while a < size:  # slices end where the distance to the anchor is a multiple of SLICE
+        b = min(size, a + (to_anchor - a) % SLICE + 1)
+        data = raw.slice(start + a, b - a + WIDTH - 1).to_pybytes()
+        group = (to_anchor - a) // SLICE
+        first = group * SLICE + SLICE - 1 - (to_anchor - a)  # windows of the slice missing at its front
+        core = data[SLICE - 1 - first : WIDTH - first]
+        yield _hash(b"%d %d" % (key, group), core), _hash(b"%d " % (to_anchor - a), data), row, start + a, b - a, to_anchor - a, data
+        a = b
 
 
 @lru_cache(1)
@@ -247,7 +259,7 @@ def _join_hot(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total:
 
     Keys with more than HOT_SHARE of the rows, of which there can be but its inverse, are broadcast; the others are shuffled.
     """
-    frequent = F.col(n) > HOT_SHARE * total
+    frequent = F.col(n) > common.HOT_SHARE * total
     hot, cold = F.broadcast(found.where(frequent).drop(n)), found.where(~frequent).drop(n)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
@@ -257,6 +269,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
     row must be distinct. The plan of rows must give the same rows when it is run again.
     """
+    common.small_batches(rows.sparkSession)
     runs = written(rows.mapInArrow(_all_runs, "key bigint, own bigint, row bigint, start bigint, size int, to_anchor int"), "runs")
     twice = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("key", "n", F.expr("a <> b").alias("mixed"), (F.expr("a <> b") & (F.col("n") > HOT)).alias("hot"))
     total = runs.count()
