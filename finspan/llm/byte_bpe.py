@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finspan.llm import common
 
-#: Pieces whose ids a Python worker keeps; on more, it starts anew. It bounds memory and changes no result.
-KEEP_PIECES = 700_000
+#: Pieces whose ids, and pairs and steps whose outcome, a Python worker keeps; on more, it starts anew. It bounds memory and changes no result.
+KEEP_PIECES, KEEP_PAIRS, KEEP_STEPS = 150_000, 300_000, 600_000
 
 
 class Vocabulary:
@@ -62,7 +62,7 @@ class Vocabulary:
         """Whether b may stand right after a."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > KEEP_PAIRS:
                 self.pairs.clear()
             known = self.pairs[a << 32 | b] = self._stand(a, b, len(self.tokens))
         return known
@@ -123,7 +123,8 @@ class Automaton:
         found = self.step.get(node << 8 | byte)
         if found is None:
             found = self.go(self.fail[node], byte) if node else 0
-            self.step[node << 8 | byte] = found
+            if len(self.step) < KEEP_STEPS:
+                self.step[node << 8 | byte] = found
         return found
 
 
@@ -245,7 +246,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _groups(texts: list, size: int = 1 << 22) -> Iterator[list]:
+def _groups(texts: list, size: int = 1 << 20) -> Iterator[list]:
     part, n = [], 0
     for x in texts:
         part.append(x)
@@ -263,6 +264,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     Ids that don't decode to the text raise. A null or empty text has no ids. Rows, repeated ones too, stay one for one;
     other columns are dropped.
     """
+    common.small_batches(docs.sparkSession)
     keep = list(keep)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -284,6 +286,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document; see encode_documents."""
+    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
