@@ -23,9 +23,6 @@ from finspan.llm.common import written
 from finspan.llm.graph import components
 from finspan.llm.sketch import band_keys, set_key, shingles, signature
 
-#: Members compared with one copy of a hub's set in one task.
-PER_COPY = 200
-
 
 def sketches(docs: DataFrame, words: int, coordinates: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,15 +53,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union; a is the one with more partners.
+    """The pairs (a, b; a written table) with 100 * intersection >= percent * union; a is the one with more partners.
 
-    Of a's set so many copies are made that each meets a bounded number of partners.
+    Of the set of an a with very many partners so many copies are made that each meets a bounded share of them.
     """
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies"))
-    left = sets.withColumnsRenamed({"doc_id": "a", "items": "x"}).join(copies, "a").select("a", "copies", "x", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    right = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
-    right = right.join(sets.withColumnsRenamed({"doc_id": "b", "items": "y"}), "b")
-    both = right.join(left, ["a", "salt"]).select("a", "b", "x", "y")
+    left, right = sets.withColumnsRenamed({"doc_id": "a", "items": "x"}), sets.withColumnsRenamed({"doc_id": "b", "items": "y"})
+    both = common.salted_join(pairs, left, "a", "b").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +79,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, coordina
     as they are, each with its doc_id's component. A row without doc_id links with nothing: its component is
     null and it is kept. Other columns are ignored.
     """
+    common.small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sk = written(sketches(own, words, coordinates, rows), "sketches")
     full = sk.where("doc_id is not null and n_shingles > 0")
