@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from finspan.llm import common
 from finspan.llm.common import shared_dir, written
 
-#: Words whose ids a Python worker keeps; on more, it keeps those in use. It bounds memory and changes no result.
-KEEP_WORDS = 1_000_000
+#: Words whose ids, and chunks whose digests, a Python worker keeps; on more, it keeps those in use. It bounds memory and changes no result.
+KEEP_WORDS, KEEP_DIGESTS = 2_000_000, 500_000
 #: Ids that the rolling hash sees, the mean length of a chunk beyond the least, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 32, 4096
 DIGEST = 16
@@ -45,10 +45,10 @@ def _one_piece(word: str) -> bool:
 
 
 class WordEncoder:
-    """Ids of texts under a word-level tokenizer file; words between ASCII white space are looked up whole.
+    """Ids of texts under a word-level tokenizer file; words between ASCII white space are looked up whole, by 64-bit hashes.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids are those of its words.
-    The strings of special tokens are ordinary text.
+    The tokenizer drops white space and lets no token cross it, so a text's ids are those of its words. A single mark
+    behind an ASCII letter or digit is a token of its own and looked up apart. The strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -60,17 +60,26 @@ class WordEncoder:
         special = {i: t.content for i, t in self.marked.get_added_tokens_decoder().items()}
         self.special = re.compile("|".join(map(re.escape, special.values())).encode()).search
         self.mark_id, self.mark = max(special.items())
-        self.known: dict[bytes, bytes] = {}
         #: Of each id, whether a piece ends with it.
         self.last = np.zeros(self.plain.get_vocab_size(), bool)
         self.last[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
+        of_mark = [self.plain.encode(chr(x), add_special_tokens=False).ids for x in _MARKS]
+        self.of_mark = np.zeros(256, "<u2")
+        self.of_mark[list(_MARKS)] = [x[0] for x in of_mark]
+        self.lone = bytes(m for m, x in zip(_MARKS, of_mark, strict=True) if len(x) == 1)
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known words: their hashes, ascending, and where their ids are in flat."""
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2")
 
     def _ids(self, words: list[str], joined: str) -> np.ndarray:
         groups = [joined.join(words[i : i + 64]) for i in range(0, len(words), 64)]
         return np.concatenate([np.array(e.ids, "<u2") for e in self.marked.encode_batch_fast([g + joined for g in groups], add_special_tokens=False)])
 
-    def learn(self, words: list[bytes]) -> None:
-        known = self.known
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        known: dict[bytes, bytes] = {}
         whole, cut = [], []
         for w in words:
             if self.special(w):
@@ -98,18 +107,40 @@ class WordEncoder:
             known.update(zip((w.encode() for w in part), [raw[2 * a : 2 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)], strict=True))
         for w, core, marks in cut:
             known[w] = known[core] + known[marks]
+        return [known[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [x.lower().split() for x in texts]  # ASCII letters, which the tokenizer lower-cases anyway
-        used = set()
-        for words in split:
-            used.update(words)
-        missing = used - self.known.keys()
-        if len(self.known) + len(missing) > KEEP_WORDS:
-            self.known = {w: self.known[w] for w in used if w in self.known}
-        self.learn(list(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        raw = common._LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]  # ASCII letters, which the tokenizer lower-cases anyway
+        h, starts, ends = common.word_hashes(raw, False, self.lone)
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = at == len(self.keys)
+        new[~new] = self.keys[at[~new]] != keys[~new]
+        if len(self.keys) + new.sum() > KEEP_WORDS:
+            self._forget()
+            new[:] = True
+        if new.any():
+            ids = self.learn([raw[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            size = np.array([len(x) // 2 for x in ids])
+            order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
+            self.keys = np.concatenate([self.keys, keys[new]])[order]
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u2")])
+            at = np.searchsorted(self.keys, keys)
+        begin, size = self.begin[at][which], self.size[at][which]
+        word_ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        lone = (ends < word_ends) & (ends < len(raw))
+        lone[lone] = ~common._IS_SPACE[raw[ends[lone]]]
+        each = size + lone
+        stop, before = np.cumsum(each), np.cumsum(size) - size
+        out = np.empty(int(each.sum()), "<u2")
+        nth = np.arange(int(size.sum()))
+        out[np.repeat(stop - each - before, size) + nth] = self.flat[np.repeat(begin - before, size) + nth]
+        out[stop[lone] - 1] = self.of_mark[raw[ends[lone]]]
+        edges = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
+        edges = np.append(0, stop)[edges].tolist() if len(stop) else [0] * len(texts)
+        return [out[a:b].tobytes() for a, b in zip([0, *edges], edges, strict=False)]
 
 
 @lru_cache(2)
@@ -187,7 +218,7 @@ def _records(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         row, task = 0, TaskContext.get().partitionId()  # rows of a task have keys of their own, also once it is run again
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x.as_buffer() for x in batch.column(1)]
-            sizes = np.cumsum([x.size for x in texts]) >> 22
+            sizes = np.cumsum([x.size for x in texts]) >> 21
             for part in np.unique(sizes).tolist():
                 out: list[tuple] = []
                 at = np.flatnonzero(sizes == part).tolist()
@@ -198,6 +229,8 @@ def _records(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         data = stream[2 * begin : 2 * stop]
                         key = digest(data)
                         if key not in sent:
+                            if len(sent) >= KEEP_DIGESTS:
+                                sent.clear()
                             sent.add(key)
                             out.append((1, key, None, None, None, None, data))
                         digests.append(key)
@@ -213,14 +246,12 @@ def _records(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the first of each key; equal keys are in one partition."""
-    seen: set[bytes] = set()
+    """Rows with the first of each key; the rows are in the order of key."""
+    last = b""
     for batch in batches:
-        new = []
-        for key in batch.column(1).to_pylist():
-            new.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(new, pa.bool_()))
+        keys = [last, *batch.column(1).to_pylist()]
+        last = keys[-1]
+        yield batch.filter(pa.array([a != b for a, b in zip(keys, keys[1:], strict=False)], pa.bool_()))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -230,8 +261,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     doc_id, and those without one, which come first, are ordered by their ids' digests. Other columns are ignored.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     zstd = {"compression": "zstd"}
-    _records(docs, tokenizer, end_id).repartition("key").mapInArrow(_once, _RECORD).write.partitionBy("kind").options(**zstd).parquet(f"{path}/raw")
+    _records(docs, tokenizer, end_id).repartition("key").sortWithinPartitions("key").mapInArrow(_once, _RECORD).write.partitionBy("kind").options(**zstd).parquet(f"{path}/raw")
     raw = spark.read.schema(_RECORD).parquet(f"{path}/raw")
     order = ["doc_id", "root"]
     rows = raw.where("kind = 0").select("doc_id", "n_tokens", "sizes", "root", F.col("data").alias("digests"))
@@ -241,15 +273,32 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     w = Window.partitionBy("part").orderBy("at")
     rows = rows.join(F.broadcast(before), "part").withColumn("start", F.col("first") + F.sum("n_tokens").over(w) - F.col("n_tokens"))
     rows.select("doc_id", "start", "n_tokens", "digests", "sizes", "root", "part").sortWithinPartitions("part", "start").write.options(**zstd).parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    _parts(spark.read.parquet(f"{path}/recipes")).write.options(**zstd).parquet(f"{path}/manifest")
+
+
+def _parts(recipes: DataFrame) -> DataFrame:
+    """(part, start, n_docs, n_tokens, root) of each part of the recipes: the rows of the manifest."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([merkle([y[i : i + DIGEST] for i in range(0, len(y), DIGEST)]) for y in batch.column(4).to_pylist()], pa.binary())], names=["part", "start", "n_docs", "n_tokens", "root"])
+            root = [merkle([y[i : i + DIGEST] for i in range(0, len(y), DIGEST)]) for y in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(root, pa.binary())], names=["part", "start", "n_docs", "n_tokens", "root"])
 
     listed = recipes.groupBy("part").agg(F.min("start").alias("start"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
     listed = listed.select("part", "start", "n_docs", "n_tokens", F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["root"])), "")).alias("r"))
-    listed.mapInArrow(roots, "part int, start bigint, n_docs bigint, n_tokens bigint, root binary").write.options(**zstd).parquet(f"{path}/manifest")
+    return listed.mapInArrow(roots, "part int, start bigint, n_docs bigint, n_tokens bigint, root binary")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Hold the recipes against the manifest: raises if a part's documents, ids, start or Merkle root are others, or the parts do not follow each other."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    found = _parts(spark.read.parquet(f"{path}/recipes")).toDF("part", "start1", "n_docs1", "n_tokens1", "root1")
+    same = " and ".join(f"{c} <=> {c}1" for c in ("start", "n_docs", "n_tokens", "root"))
+    bad = manifest.join(found, "part", "full").where(f"not ({same})").select("part").take(1)
+    before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bad = bad or manifest.withColumn("before", F.coalesce(before, F.lit(0))).where("start <> before").select("part").take(1)
+    if bad:
+        raise ValueError(f"the recipes of part {bad[0].part} do not have the root, counts and start that the manifest names")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -321,9 +370,11 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Read a store back: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian 32-bit integers).
 
-    Each chunk is read where it lies, held against its digest, and its crc32 taken; documents are put together
-    from these by their recipes, whose roots are checked too. What doesn't fit raises.
+    The recipes are held against the manifest. Each chunk is read where it lies, held against its digest, and its crc32
+    taken; documents are put together from these by their recipes, whose roots are checked too. What doesn't fit raises.
     """
+    common.small_batches(spark)
+    verify(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

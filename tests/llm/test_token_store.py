@@ -1,8 +1,10 @@
+import shutil
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from finspan.llm import token_store as ts
 from tests.llm.helpers import SF, save_docs
 from tokenizers import Tokenizer
@@ -60,6 +62,31 @@ def test_store_reads_back_and_notices_damage(spark, tmp_path):
         ts.digests(spark, bad).collect()
 
 
+def test_damage_raises(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{i} {'some words of a text ' * 400}{i}") for i in range(8)], "doc_id bigint, text string")
+    for name, change in {
+        "manifest": lambda d: spark.read.parquet(f"{d}/manifest").withColumn("n_docs", F.col("n_docs") + 1),
+        "recipes": lambda d: spark.read.parquet(f"{d}/recipes").where("doc_id <> 3"),
+        "raw/kind=1": lambda d: spark.read.parquet(f"{d}/raw/kind=1").limit(3),
+    }.items():
+        whole, bad = str(tmp_path / f"{name}-whole"), str(tmp_path / f"{name}-bad")
+        ts.write_store(docs, whole, PATH)
+        assert ts.digests(spark, whole).count() == 8
+        shutil.copytree(whole, bad)
+        shutil.rmtree(f"{bad}/{name}")
+        change(whole).write.parquet(f"{bad}/{name}")
+        with pytest.raises(Exception, match="manifest|missing"):
+            ts.digests(spark, bad).collect()
+
+
+def test_lone_marks():
+    e = ts.WordEncoder(PATH)
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    for x in ("a b, c. d", "u.s. 3.5, x...\ty?! é, é,\nz;", ", . a,", "It's 5: a,b c,d, (x), <|endoftext|>, end.", "a.\u00a0b. c\u0301, d"):
+        assert np.frombuffer(e.encode([x.encode()])[0], "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_cuts_follow_content():
     ids = np.random.default_rng(1).integers(0, 49000, 20000).astype("<u2")
     a, b = ts.cuts(ids), ts.cuts(np.concatenate([ids[:100], ids[150:]]))
