@@ -91,8 +91,8 @@ class WordEncoder:
         new = {x for _, core, marks in cut for x in (core, marks)} - known.keys()
         new.update(whole)
         text = b" ".join(new).decode().split(" ") if new else []
-        one = sorted(w for w in text if _one_piece(w))
-        rest = [w for w in text if not _one_piece(w)]
+        one = sorted(filter(_one_piece, text))
+        rest = list(set(text).difference(one))
         for i in range(0, len(one), 64_000):
             part = one[i : i + 64_000]
             ids = self._ids(part, " ")
