@@ -15,10 +15,30 @@ def priceable(c: Column) -> Column:
     return symbol_kind(c) == "ticker"
 
 
-def valid_label(c: Column) -> Column:
-    """Not null, blank, a null literal or a refusal."""
-    t = F.lower(F.trim(c))
-    return F.coalesce(~t.isin("", "nan", "none", "null") & ~t.rlike(r"^(unable|unknown|error)"), F.lit(False))
+# fixed values: literals that stand for no label, and words that mark a refusal wherever they stand
+NO_LABEL = ("nan", "none", "null", "n/a", "na")
+REFUSALS = ("unable", "unknown", "unclassified", "error")
+
+
+def valid_label(*tiers: Column) -> Column:
+    """Whether every tier has a label: not null, blank or a literal for none, and without a word of refusal."""
+    good = F.lit(True)
+    for c in tiers:
+        t = F.lower(F.trim(c.cast("string")))
+        good = good & ~t.isin("", *NO_LABEL) & ~t.rlike("|".join(REFUSALS))
+    return F.coalesce(good, F.lit(False))
+
+
+def junk_name(name: Column, symbol: Column) -> Column:
+    """A name that says nothing: missing, blank, the symbol itself or digits only."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return (n == "") | (n == F.coalesce(symbol, F.lit(""))) | n.rlike("^[0-9]+$")
+
+
+def one_size(tags: Column, sizes: list[str]) -> Column:
+    """An array of tags without those of size where it has two or more of them."""
+    is_size = lambda x: x.isin(*sizes)
+    return F.when(F.size(F.filter(tags, is_size)) >= 2, F.filter(tags, lambda x: ~is_size(x))).otherwise(tags)
 
 
 def by_priority(df: DataFrame, name: str, choices: dict[str, Column]) -> DataFrame:

@@ -21,6 +21,11 @@ def sparse_filter(prices: DataFrame, least: float = 0.5) -> DataFrame:
     return n.join(F.broadcast(most), F.col("n") >= least * F.col("most")).select("date", "n")  # one row
 
 
+def as_of(prices: DataFrame, date: str | None) -> DataFrame:
+    """Prices up to a day, that day included; all of them without one."""
+    return prices if date is None else prices.where(F.col("date") <= F.lit(date).cast("date"))
+
+
 def on_calendar(prices: DataFrame, least: float = 0.5) -> DataFrame:
     """Prices on the calendar's dates with their row number (seq); the calendar has one row a date."""
     seq = F.row_number().over(Window.orderBy("date"))
@@ -122,7 +127,7 @@ def aliased(prices: DataFrame, unit: DataFrame, aliases: DataFrame) -> DataFrame
     unit: (symbol, unit). Series of symbols that are aliased are replaced. aliases: (symbol, alias), a fixed table.
     """
     last = prices.groupBy(F.col("ticker").alias("alias")).agg(F.max_by("close", "date").alias("last"))
-    scale = F.broadcast(aliases).join(last, "alias").join(unit, "symbol").select("symbol", F.col("alias").alias("ticker"), F.try_divide("unit", "last").alias("scale"))
-    new = prices.join(scale, "ticker").select("date", F.col("symbol").alias("ticker"), (F.col("close") * F.col("scale")).alias("close"))
+    scale = F.broadcast(aliases).join(last, "alias").join(unit, "symbol").select("symbol", F.col("alias").alias("ticker"), "unit", "last")
+    new = prices.join(scale, "ticker").select("date", F.col("symbol").alias("ticker"), F.try_divide(F.col("close") * F.col("unit"), F.col("last")).alias("close"))
     own = prices.join(F.broadcast(aliases.select(F.col("symbol").alias("ticker"))), "ticker", "left_anti")
     return own.select("date", "ticker", "close").union(new)

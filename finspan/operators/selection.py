@@ -12,6 +12,19 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
 
 
+def seeded_order(df: DataFrame, seed: str, keys: list[str]) -> DataFrame:
+    """Adds place: the row's number in the order of a hash of seed and keys.
+
+    Rows are numbered in 4096 ranges of the hash; the ranges' sizes are told to all.
+    """
+    u = F.md5(F.concat(F.lit(seed), *keys))
+    d = df.withColumn("__u", u).withColumn("__r", F.left("__u", F.lit(3)))
+    each = d.groupBy("__r").agg(F.count("*").alias("__n"))
+    before = each.withColumn("__before", F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).drop("__n")
+    nth = F.row_number().over(Window.partitionBy("__r").orderBy("__u", *keys))
+    return d.join(F.broadcast(before), "__r").withColumn("place", F.col("__before") + nth).drop("__u", "__r", "__before")
+
+
 def min_max(df: DataFrame, *columns: str) -> DataFrame:
     """The columns scaled to 0..1 over all rows; a constant column becomes null."""
     ends = df.agg(*(F.min(c).alias(f"__lo_{c}") for c in columns), *(F.max(c).alias(f"__hi_{c}") for c in columns))

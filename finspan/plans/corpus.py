@@ -9,6 +9,7 @@ from finspan.functions import text as T
 from finspan.operators import selection as S
 from finspan.operators import similarity as V
 from finspan.plans.sqlbase import registry
+from finspan.sources import files, sinks
 from finspan.sources.panels import rounded, table
 
 QUERIES, ORACLES, query = registry()
@@ -174,19 +175,48 @@ def training_examples(spark, sf):
 u AS (SELECT *, 0 AS g FROM a UNION ALL SELECT *, 1 AS g FROM b) SELECT event_id, user_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY g DESC) AS k FROM u) WHERE k = 1"""
 )
 def upsert_latest(spark, sf):
-    """Old rows with those of a newer batch put over them."""
-    from finspan.sources.sinks import upserted
-
+    """Old rows with those of a newer batch put over them, in a table that is written and read."""
     e = table(spark, sf, "events")
     old, new = e.where("event_id % 3 <> 0"), e.where("event_id % 3 <> 1").withColumn("value", F.col("value") * 2)
-    return rounded(upserted(old, new, ["event_id"]).select("event_id", "user_id", "value"))
+    path = sinks.shared_folder(spark, "upserted")
+    for batch in (old, new):
+        sinks.upsert(batch, path, ["event_id"])
+    return rounded(sinks.read(spark, path).select("event_id", "user_id", "value"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'old' ELSE 'new' END AS origin FROM events WHERE event_id % 2 = 0 OR event_id % 3 <> 0")
 def insert_if_absent(spark, sf):
     e = table(spark, sf, "events").select("event_id")
     old, new = e.where("event_id % 3 <> 0").withColumn("origin", F.lit("old")), e.where("event_id % 2 = 0").withColumn("origin", F.lit("new"))
-    return old.union(new.join(old.select("event_id"), "event_id", "left_anti"))
+    path = sinks.shared_folder(spark, "inserted")
+    for batch in (old, new):
+        sinks.insert_absent(batch, path, ["event_id"])
+    return spark.read.parquet(path)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, CASE WHEN day(CAST(ts AS DATE)) % 3 = 0 THEN 'replaced' ELSE 'first' END AS origin FROM events GROUP BY 1")
+def replaced_days(spark, sf):
+    """Days' snapshots, some written a second time in place of the first."""
+    e = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    path = sinks.shared_folder(spark, "replaced")
+    sinks.replace_partitions(e.withColumn("origin", F.lit("first")), path, "day")
+    sinks.replace_partitions(e.where(F.dayofmonth("day") % 3 == 0).withColumn("origin", F.lit("replaced")), path, "day")
+    return spark.read.parquet(path).select("day", "n", "origin")
+
+
+@query("SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+def jsonl_turns(spark, sf):
+    """Turns written as lines of JSON and read back."""
+    path = sinks.shared_folder(spark, "jsonl")
+    turns = table(spark, sf, "conversations")
+    sinks.write_jsonl(turns, path)
+    return files.read_jsonl(spark, path, turns.schema).select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def retained_events(spark, sf):
+    """Intraday rows of the last seven days; older ones go."""
+    return sinks.retained(table(spark, sf, "events"), "ts", 7).select("event_id", "user_id")
 
 
 @query("SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")

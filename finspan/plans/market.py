@@ -66,6 +66,21 @@ def ytd_return(spark, sf):
     return rounded(R.ytd_return(R.on_calendar(P.prices(spark, sf))))
 
 
+#: A past day for which figures are made again.
+AS_OF = "1997-06-30"
+
+
+@query(
+    f"""WITH p AS (SELECT * FROM ({panel()}) WHERE date <= DATE '{AS_OF}'), n AS (SELECT date, count(*) AS n FROM p GROUP BY 1), c AS (SELECT date, row_number() OVER (ORDER BY date) AS seq FROM n WHERE n >= 0.5 * (SELECT max(n) FROM n)),
+r AS (SELECT p.*, seq FROM p JOIN c ON p.date = c.date), l AS (SELECT max(seq) AS last FROM c) SELECT b.ticker, b.date, round(100 * (b.close / a.close - 1), 6) AS ret FROM r b JOIN l ON b.seq = last LEFT JOIN r a ON a.ticker = b.ticker AND a.seq = last - 5"""
+)
+def return_as_of(spark, sf):
+    """Five-row returns as a past day's report had them; later prices don't count, neither for the calendar."""
+    on = R.on_calendar(R.as_of(P.prices(spark, sf), AS_OF))
+    day = on.agg(F.max("date").alias("date"))
+    return rounded(R.return_over(on, 5).join(F.broadcast(day)).select("ticker", "date", "ret"))
+
+
 @query(f"WITH {history()}, {TRAIL} SELECT ticker, CASE WHEN count(ret) >= 30 THEN round(stddev_samp(ret) * sqrt(52.0), 6) END AS vol FROM t GROUP BY ticker")
 def annualized_vol(spark, sf):
     return rounded(R.annualized_vol(rets(spark, sf)))

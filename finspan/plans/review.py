@@ -212,8 +212,12 @@ def qualification_reasons(spark, sf):
 @query("SELECT day, notes FROM (SELECT CAST(ts AS DATE) AS day, left(string_agg(event_type || ' by ' || user_id, ' || ' ORDER BY ts, event_id), 1500) AS notes FROM events GROUP BY 1)")
 def daily_notes(spark, sf):
     """A day's notes in order, joined and cut to 1500 characters: the length is the feature."""
-    note = F.struct("ts", "event_id", F.concat("event_type", F.lit(" by "), "user_id").alias("note"))
-    g = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(note))["note"].alias("notes"))
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", F.concat("event_type", F.lit(" by "), "user_id").alias("note"))
+    days = e.groupBy("day").agg(F.count("*")).select("day")
+    nth = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    first = e.where("note is not null").withColumn("nth", nth).where("nth <= 300")  # with its separator a note has 8 characters at least
+    g = first.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "note")))["note"].alias("notes"))
+    g = days.join(g, "day", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
     return g.select("day", F.left(F.array_join("notes", " || "), F.lit(1500)).alias("notes"))
 
 

@@ -31,7 +31,8 @@ def alias_prices(spark, sf):
     funds = lots.where(F.col("symbol").isin("Brand#1", "Brand#2")).withColumn("symbol", F.concat(F.lit("Fund#"), F.right("symbol", F.lit(1))))
     held = funds.union(lots.where("symbol = 'Brand#3'")).groupBy("symbol")
     unit = held.agg(F.try_divide(F.abs(F.sum("market_value").cast("double")), F.abs(F.sum("quantity"))).alias("unit"))
-    return rounded(R.aliased(P.prices(spark, sf).select("date", "ticker", "close"), unit, spark.createDataFrame(PRICE_ALIASES, "symbol string, alias string")))
+    out = R.aliased(P.prices(spark, sf).select("date", "ticker", "close"), unit, spark.createDataFrame(PRICE_ALIASES, "symbol string, alias string"))
+    return out.withColumn("close", F.round(F.col("close") * 1e6) / 1e6)  # ties as binary fractions have them, as in the twin
 
 
 @query(f"WITH {ASSETS}, d AS (SELECT ret - avg(ret) OVER () AS d FROM assets WHERE ret IS NOT NULL) SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN round(stddev_samp(d), 6) END AS dispersion, round(max(d) - min(d), 6) AS span FROM d")

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finspan.sources.sinks import shared_folder
 from finspan.streaming import events as E
 
 
-def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "finspan-streams")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _run(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     E.upsert_stream(stream, f"{folder}/table", f"{folder}/checkpoint", keys, mode)
     return spark.read.parquet(f"{folder}/table")
 

@@ -72,15 +72,45 @@ def symbol_kinds(spark, sf):
     return rounded(g.join(F.broadcast(total)).select("kind", "n", (F.col("n") / F.col("total")).alias("share")))
 
 
+#: Answers of a classifier in place of a label, by turns.
+ANSWERS = ["nan", " N/A ", "na", "None", "NULL", "", "Unable to classify", "It is unknown", "Unclassified", "Parse Error: x"]
+
+
 @query(
-    """SELECT p_partkey AS key, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN 'nan' WHEN p_size % 4 = 2 THEN 'Unable to tell' ELSE p_type END AS tier1,
-coalesce(p_size % 4 = 3, false) AS valid FROM part"""
+    f"""WITH a(i, answer) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(ANSWERS))}), t AS (SELECT p_partkey AS key, CASE WHEN p_size % 20 < 10 THEN answer WHEN p_size % 20 = 19 THEN NULL ELSE p_type END AS tier1,
+CASE WHEN p_partkey % 20 < 10 THEN p_brand ELSE b.answer END AS tier2 FROM part JOIN (SELECT i, answer FROM a) a ON a.i = p_size % 10 JOIN (SELECT i, answer FROM a) b(i, answer) ON b.i = p_partkey % 10)
+SELECT key, tier1, tier2, coalesce(lower(trim(tier1)) NOT IN ('', 'nan', 'none', 'null', 'n/a', 'na') AND lower(trim(tier2)) NOT IN ('', 'nan', 'none', 'null', 'n/a', 'na')
+AND NOT regexp_matches(lower(tier1 || ' ' || tier2), 'unable|unknown|unclassified|error'), false) AS valid FROM t""".replace("THEN answer", "THEN a.answer", 1)
 )
 def valid_labels(spark, sf):
-    """Whether a label is one: not null, blank, a null literal or a refusal."""
-    k = F.col("p_size") % 4
-    label = F.when(k == 0, F.lit(None)).when(k == 1, "nan").when(k == 2, "Unable to tell").otherwise(F.col("p_type"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), label.alias("tier1")).withColumn("valid", L.valid_label(F.col("tier1")))
+    """Whether both tiers have a label: not null, blank, a literal for none or a refusal."""
+    said = lambda i: F.element_at(F.array(*map(F.lit, ANSWERS)), (i % 10 + 1).cast("int"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    tier1 = F.when(size % 20 < 10, said(size)).when(size % 20 == 19, F.lit(None)).otherwise(F.col("p_type"))
+    tier2 = F.when(key % 20 < 10, F.col("p_brand")).otherwise(said(key))
+    return table(spark, sf, "part").select(key.alias("key"), tier1.alias("tier1"), tier2.alias("tier2")).withColumn("valid", L.valid_label(F.col("tier1"), F.col("tier2")))
+
+
+@query(
+    """WITH n AS (SELECT p_partkey AS key, p_brand AS symbol, CASE p_size % 5 WHEN 0 THEN p_brand WHEN 1 THEN CAST(p_partkey AS VARCHAR) WHEN 2 THEN '  ' WHEN 3 THEN NULL ELSE p_name END AS name FROM part)
+SELECT *, trim(coalesce(name, '')) = '' OR trim(name) = symbol OR regexp_full_match(trim(name), '[0-9]+') AS junk FROM n"""
+)
+def junk_names(spark, sf):
+    """Names that say nothing about the asset."""
+    k = F.col("p_size") % 5
+    name = F.when(k == 0, F.col("p_brand")).when(k == 1, F.col("p_partkey").cast("string")).when(k == 2, "  ").when(k == 4, F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("symbol"), name.alias("name")).withColumn("junk", L.junk_name(F.col("name"), F.col("symbol")))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS key, list_filter([CASE WHEN p_size % 2 = 0 THEN 'Small-Cap' END, CASE WHEN p_size % 3 = 0 THEN 'Mid-Cap' END, p_type, CASE WHEN p_size % 5 = 0 THEN 'Large-Cap' END], lambda x: x IS NOT NULL) AS tags,
+(p_size % 2 = 0)::INT + (p_size % 3 = 0)::INT + (p_size % 5 = 0)::INT AS n FROM part) SELECT key, array_to_string(CASE WHEN n >= 2 THEN list_filter(tags, lambda x: x NOT LIKE '%-Cap') ELSE tags END, ', ') AS tags FROM t"""
+)
+def size_tags(spark, sf):
+    """Tags without those of size where a fund has two or more of them."""
+    s = F.col("p_size")
+    tags = F.array_compact(F.array(F.when(s % 2 == 0, "Small-Cap"), F.when(s % 3 == 0, "Mid-Cap"), F.col("p_type"), F.when(s % 5 == 0, "Large-Cap")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.array_join(L.one_size(tags, ["Small-Cap", "Mid-Cap", "Large-Cap"]), ", ").alias("tags"))
 
 
 @query("SELECT p_partkey AS key, p_brand || CASE WHEN p_size % 3 = 0 THEN ' Index' WHEN p_type = 'PROMO' THEN ' CN Equity' ELSE ' US Equity' END AS ticker FROM part")
@@ -231,11 +261,11 @@ def rarity_sample(spark, sf):
     return S.rarity_sample(sources(spark, sf), "source", "key", 5, 30)
 
 
-@query("SELECT source, key FROM (SELECT *, row_number() OVER (ORDER BY md5('7' || source || key), source, key) AS k FROM (SELECT 'part' AS source, p_partkey AS key FROM part)) WHERE k <= 100")
+@query("SELECT source, key, row_number() OVER (ORDER BY md5('7' || source || key), source, key) AS place FROM (SELECT 'part' AS source, p_partkey AS key FROM part)")
 def seeded_shuffle(spark, sf):
-    """The first hundred of an order drawn by a seeded hash: a control sample."""
+    """All rows with their place in an order drawn by a seeded hash."""
     s = table(spark, sf, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("key"))
-    return s.orderBy(F.md5(F.concat(F.lit("7"), "source", "key")), "source", "key").limit(100)
+    return S.seeded_order(s, "7", ["source", "key"])
 
 
 @query(

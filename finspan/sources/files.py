@@ -104,3 +104,8 @@ def mock_prices(tickers: DataFrame, days: int, seed: int = 7) -> DataFrame:
     u = (F.pmod(F.xxhash64("ticker", "i", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 0.04
     path = F.exp(F.sum(u).over(Window.partitionBy("ticker").orderBy("i")))
     return day.select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("i") - 1).alias("date"), "ticker", (100 * path).alias("close"), (1000 + F.pmod(F.xxhash64("i", "ticker"), F.lit(500))).cast("double").alias("volume"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Lines of JSON by a schema; a line that is none raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -133,6 +133,11 @@ def test_sinks_can_run_again(spark, tmp_path):
     for _ in range(2):
         sinks.insert_absent(spark.createDataFrame([(3, "x"), (4, "y")], "k long, v string"), path, ["k"])
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d"), (4, "y")]
+    twice = spark.createDataFrame([(5, "p"), (5, "q")], "k long, v string")
+    sinks.upsert(twice, path, ["k"])
+    (tmp_path / "t").rename(tmp_path / "t.before")  # as if broken off between the two moves
+    assert sinks.read(spark, path).where("k = 5").first().v == "q" and sinks.read(spark, path).count() == 5
+    assert sinks.upserted(twice.limit(0), twice, ["k"], ["v"]).first().v == "p"
     parts = str(tmp_path / "p")
     sinks.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "d long, v string"), parts, "d")
     sinks.replace_partitions(spark.createDataFrame([(2, "z")], "d long, v string"), parts, "d")
@@ -184,6 +189,10 @@ def test_answers_labels_and_days(spark):
     assert [r[0] for r in df.select(T.answer_field(F.col("s"), "label")).collect()] == ["x", "y", None, None]
     df = spark.createDataFrame([(" NaN ",), ("Unable to say",), ("Equity",), (None,), ("",)], "s string")
     assert [r[0] for r in df.select(L.valid_label(F.col("s"))).collect()] == [False, False, True, False, False]
+    df = spark.createDataFrame([("Equity", "it is Unknown"), ("Equity", "N/A"), ("Equity", " na "), ("Un-classified", "Value"), ("was unclassified", "Value"), ("ParseError", "x"), ("Equity", None), ("Equity", "Value")], "a string, b string")
+    assert [r[0] for r in df.select(L.valid_label(F.col("a"), F.col("b"))).collect()] == [False, False, False, True, False, False, False, True]
+    df = spark.createDataFrame([("A", "A"), ("12", "B"), (None, "C"), (" ", "D"), ("Fund 1", "E"), ("x", None)], "n string, s string")
+    assert [r[0] for r in df.select(L.junk_name(F.col("n"), F.col("s"))).collect()] == [True, True, True, True, False, False]
     df = spark.createDataFrame([("AAPL",), ("CASH",), ("12345678X",), ("AB C",), (None,)], "s string")
     assert [r[0] for r in df.select(L.symbol_kind(F.col("s"))).collect()] == ["ticker", "cash", "identifier", "derivative", "ticker"]
     df = spark.sql("select date'2024-03-01' a, date'2024-03-04' b, date'2024-03-03' c")
