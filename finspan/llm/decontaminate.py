@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 Tokens are lower-cased runs of letters and digits. A seed is the hash of the tokens at the positions that a fixed mask
-selects, so that it does not notice substitutions at the others; items too short for any mask have one seed of all tokens. Seeds of all benchmark items are joined with those of
+selects, so that it does not notice substitutions at the others. Items of fewer tokens than the longest mask spans have seeds
+of their own: with k substitutions allowed, of every (k + 1)th token, from each of the first k + 1 on; k substitutions leave one
+of these whole. Seeds of all benchmark items are joined with those of
 all documents' positions; a hit names a diagonal, along which the item's and the document's tokens are compared: a
 document is contaminated if some SPAN tokens in a row of the item (all, of a shorter one) agree with it in at least
 PERCENT of 100. DataFrame functions only.
@@ -30,25 +32,31 @@ def tokens(text: Column) -> Column:
 
 def _seeds(h: Column, at: Column) -> Column:
     """The seeds that begin at a position: one for each mask that fits, the mask's number among what is hashed."""
-    found = [F.when(at + mask[-1] < F.size(h), F.xxhash64(F.lit(m), *(F.get(h, at + i) for i in mask))) for m, mask in enumerate(MASKS)]
+    found = [F.when((at >= 0) & (at + mask[-1] < F.size(h)), F.xxhash64(F.lit(m), *(F.get(h, at + i) for i in mask))) for m, mask in enumerate(MASKS)]
     return F.array(*found)
 
 
-def _short(h: Column, lengths: list[int], at: Column) -> Column:
-    """Seeds of all tokens of items that the first mask is too long for; a document's are of as many tokens."""
-    return F.array(*(F.when(at + n <= F.size(h), F.xxhash64(F.lit(-n), *(F.get(h, at + i) for i in range(n)))) for n in lengths))
+def _may_differ(n: int) -> int:
+    """Tokens of n that may differ."""
+    return n * (100 - PERCENT) // 100
+
+
+def _short(h: Column, n: int, at: Column) -> list[Column]:
+    """Seeds of n tokens from a position on, which may stand over the ends of a document by as many tokens as may differ."""
+    step = _may_differ(n) + 1
+    masks = [range(r, n, step) for r in range(step)]
+    return [F.when((at + m[0] >= 0) & (at + m[-1] < F.size(h)), F.xxhash64(F.lit(-n), F.lit(r), *(F.get(h, at + i) for i in m))) for r, m in enumerate(masks)]
 
 
 def _exploded(df: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
-    """A row for each seed of each position (at); whole: only texts of just so many tokens have the short seeds."""
-    df = df.where(F.size("h") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - 1)))
+    """A row for each seed of each position (at); whole: only texts of just so many tokens have the short seeds, once."""
+    over = 0 if whole else max(map(_may_differ, lengths), default=0)
+    df = df.where(F.size("h") > 0).withColumn("at", F.explode(F.sequence(F.lit(-over), F.size("h") - 1)))
     h, at = F.col("h"), F.col("at")
     seeds = _seeds(h, at)
     if lengths:
-        short = _short(h, lengths, at)
-        if whole:
-            short = F.transform(short, lambda x, i: F.when(F.size(h) == F.get(F.array(*map(F.lit, lengths)), i), x))
-        seeds = F.concat(seeds, short)
+        own = lambda n, x: F.when((F.size(h) == n) & (at == 0), x) if whole else x
+        seeds = F.concat(seeds, F.array(*(own(n, x) for n in lengths for x in _short(h, n, at))))
     return df.withColumn("seed", F.explode(seeds)).where("seed is not null")
 
 
@@ -74,8 +82,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of docs must give the same rows when it is run again.
     """
     items = written(benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") > 0).distinct(), "items")
-    least = min(m[-1] for m in MASKS) + 1
-    lengths = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") < least).distinct().collect())  # fewer than the shortest mask takes
+    least = max(m[-1] for m in MASKS) + 1
+    lengths = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") < least).distinct().collect())  # fewer than the longest mask spans
     seeds = written(_exploded(items.withColumnRenamed("item", "h"), lengths, whole=True).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     positions = _exploded(docs.select("row", tokens(F.col("text")).alias("h")), lengths, whole=False).select("row", "at", "seed")
