@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from finspan.llm import common
 
-#: The bound of the sample: documents a language, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 16, 1500
-#: A text is parsed in pieces of so many symbols; a phrase ends with its piece.
+#: The bound of the sample: whole documents a language, up to the one with which they reach so many characters; longer ones are
+#: taken only where there are no others, and those beyond LONGEST never.
+SAMPLE_DOCS, SAMPLE_CHARS, LONGEST = 16, 24_000, 1_000_000
+#: Pieces of so many symbols of a text are parsed side by side; each then goes on from where the piece before it ended.
 PIECE = 1024
 
 
@@ -130,6 +131,10 @@ class Model:
         begin = (np.cumsum(sizes) - sizes)[owner] + nth * PIECE
         length = np.minimum(sizes[owner] - nth * PIECE, PIECE)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        later, last = nth[order] > 0, (nth + 1 == pieces[owner])[order]
+        before, after = place[np.maximum(order - 1, 0)], place[np.minimum(order + 1, len(order) - 1)]
         owner, begin, length = owner[order], begin[order], length[order]
         roots = np.array(self.roots, kind)
         state = np.repeat(roots[:, None], len(owner), 1)
@@ -139,14 +144,45 @@ class Model:
             m = many[t]
             v = self.table[state[:, :m] + flat[begin[:m] + t]]
             if not t:
-                v += 1  # the first phrase of a piece
+                v[:, ~later[:m]] += 1  # the first phrase of a text
             count[:, :m] += v & 3
             state[:, :m] = v >> 2
-        count -= state == roots[:, None]  # no phrase came
+        self._carry(flat, begin, length, later, last, before, after, state, count)
+        count -= (state == roots[:, None]) & last  # no phrase came
         for i in range(n_lang):
             out[:, i] = np.bincount(owner, count[i], len(texts)).astype(np.int64)
         return out
 
+    def _carry(self, flat, begin, length, later, last, before, after, state, count) -> None:
+        """Correct states and counts (language x piece) of pieces parsed from the root to go on from the piece before.
+
+        A piece is parsed again from where it must begin, beside the parse that it had, until both are in one state.
+        """
+        begun = np.repeat(np.array(self.roots, state.dtype)[:, None], len(begin), 1)
+        lang, piece = np.nonzero(later & (state[:, before] != begun))
+        while len(piece):
+            a, b = begun[lang, piece], state[lang, before[piece]]
+            begun[lang, piece] = b
+            more, live, ended, t = np.zeros(len(piece), np.int64), np.arange(len(piece)), [], 0
+            while len(live):
+                on = length[piece[live]] > t
+                ended.append(live[~on])
+                live = live[on]
+                c = flat[begin[piece[live]] + t]
+                va, vb = self.table[a[live] + c], self.table[b[live] + c]
+                more[live] += (vb & 3).astype(np.int64) - (va & 3)
+                a[live], b[live] = va >> 2, vb >> 2
+                live = live[a[live] != b[live]]
+                t += 1
+            count[lang, piece] += more.astype(count.dtype)
+            ended = np.concatenate(ended)
+            lang, piece = lang[ended], piece[ended]
+            state[lang, piece] = b[ended]
+            go = ~last[piece]
+            lang, piece = lang[go], after[piece[go]]
+            go = state[lang, before[piece]] != begun[lang, piece]
+            lang, piece = lang[go], piece[go]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and a score of each text: the share by which the second-best needs more than the best."""
         parsed = [symbols(x) if x else np.zeros(0, np.uint32) for x in texts]
@@ -164,14 +200,16 @@ class Model:
 def fit(docs: DataFrame, learn: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from the rows of docs (doc_id, text, lang) for which the SQL condition learn holds.
 
-    Of each language the sample_docs documents with the least hash of doc_id are taken, sample_chars characters of
-    each, so what comes to the driver has a bound for each language.
+    Of each language the sample_docs documents with the least hash of doc_id are taken, whole, in this order until
+    they have sample_chars characters, so what comes to the driver has a bound for each language.
     """
-    good = docs.where(learn).where("lang is not null and text rlike '\\\\p{L}'").select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("part"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "part"))
+    good = docs.where(learn).where(f"lang is not null and length(text) <= {LONGEST} and text rlike '\\\\p{{L}}'").select("lang", "doc_id", "text", (F.length("text") > sample_chars).alias("long"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text"))
     samples: dict[str, list[np.ndarray]] = {}
-    for r in good.withColumn("nth", nth).where(F.col("nth") <= sample_docs).orderBy("lang", "nth").collect():
-        samples.setdefault(r.lang, []).append(symbols(r.part))
+    for r in good.withColumn("nth", nth).where(F.col("nth") <= sample_docs).orderBy("lang", "nth").toLocalIterator():
+        taken = samples.setdefault(r.lang, [])
+        if sum(map(len, taken)) < sample_chars:
+            taken.append(symbols(r.text))
     return Model(samples)
 
 

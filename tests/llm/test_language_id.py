@@ -25,8 +25,7 @@ def test_phrases_equal_plain_search():
     texts = ["".join(r.choice("abcdx ") for _ in range(n)) for n in (1, 2, 7, 50, 1000, 5000, 0)]
     got = m.phrases([np.array([ord(c) for c in t], np.uint32) for t in texts])
     for t, row in zip(texts, got.tolist()):
-        pieces = [t[i : i + li.PIECE] for i in range(0, len(t), li.PIECE)]
-        assert row == [sum(naive(p, samples[k] + " ") for p in pieces) for k in ("aa", "bb")]
+        assert row == [naive(t, samples[k] + " ") for k in ("aa", "bb")]
     assert m.bits == [math.log2(301)] * 2
 
 
@@ -49,3 +48,15 @@ def test_edges(spark, tmp_path):
     assert li.op9_language_id(spark, str(tmp_path / "none")).count() == 0
     save_docs(spark, tmp_path / "unlabelled", [(1, "abc", None)])
     assert [r.lang_pred for r in li.op9_language_id(spark, str(tmp_path / "unlabelled")).collect()] == ["und"]
+
+
+def test_pieces_make_no_difference(monkeypatch):
+    r = np.random.default_rng(2)
+    text = lambda n, letters: "".join(r.choice(list(letters), n, p=np.array([3, 2, 1, 1, 1, 1, 1][: len(letters)]) / sum([3, 2, 1, 1, 1, 1, 1][: len(letters)])))
+    m = li.Model({"a": [li.symbols(text(600, "abcd "))], "b": [li.symbols(text(600, "badce f"))]})
+    texts = [li.symbols(text(n, "abcdefx")) for n in (1, 5, 8, 9, 40, 333, 2000)] + [li.symbols(text(3000, "abcd ")), np.full(100, ord("z"), np.uint32), li.symbols("abcd " * 50)]
+    monkeypatch.setattr(li, "PIECE", 1 << 30)
+    whole = m.phrases(texts)
+    for size in (1, 3, 8, 64):
+        monkeypatch.setattr(li, "PIECE", size)
+        assert (m.phrases(texts) == whole).all()
