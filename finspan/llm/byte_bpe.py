@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from finspan.llm import common
 
 #: Pieces whose ids, and pairs and steps whose outcome, a Python worker keeps; on more, it starts anew. It bounds memory and changes no result.
-KEEP_PIECES, KEEP_PAIRS, KEEP_STEPS = 150_000, 300_000, 600_000
+KEEP_PIECES, KEEP_PAIRS, KEEP_STEPS = 400_000, 600_000, 1_000_000
 
 
 class Vocabulary:
