@@ -169,7 +169,8 @@ def entities(rows: DataFrame) -> DataFrame:
 
 def surrogates(things: DataFrame, key: str, most: int = 60) -> DataFrame:
     """(kind, norm, surrogate) of the distinct (kind, norm) in things; of one kind, all surrogates differ, and none is a norm."""
-    todo = written(things.select("kind", "norm").distinct(), "things")
+    parts = int(things.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = written(things.select("kind", "norm").distinct().repartition(parts, "kind", "norm"), "things")
     taken = todo.select("kind", F.col("norm").alias("surrogate"))
     done = None
     for attempt in range(most):
