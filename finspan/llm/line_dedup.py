@@ -213,8 +213,8 @@ def delete_repeated_lines(docs: DataFrame) -> DataFrame:
     shared = written(met(seeds, held), "shared")
     pairs = written(shared.where("id > first").select("id", "first").distinct(), "pairs")
     in_shared = keyed.join(shared.select("id").distinct(), "id", "left_semi")
-    one = in_shared.groupBy("id").agg(F.min("lines").alias("earlier")).withColumnRenamed("id", "first")
-    later = in_shared.dropDuplicates(["id", "mark"])
+    later = written(in_shared.dropDuplicates(["id", "mark"]), "later")
+    one = written(later.groupBy("id").agg(F.min("lines").alias("earlier")).withColumnRenamed("id", "first"), "one")
 
     def aligned(pairs: DataFrame) -> DataFrame:
         with_earlier = common.salted_join(pairs, one, "first", "id").select("id", "earlier")
@@ -246,7 +246,8 @@ def delete_repeated_lines(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("mark").alias("k"), F.col("gone").alias("v")))).alias("__gone"))
     names = [c for c in docs.columns if c != "removed_lines"]
     key = F.coalesce(docs.doc_id.cast("bigint"), F.xxhash64(docs.text))  # so that rows without doc_id don't meet
-    full = docs.select(*names).join(gone, (key == gone.id) & docs.doc_id.isNotNull(), "left").select(*names, "__gone")
+    # always by a shuffle of the texts: a broadcast on small tables alone would make disk grow faster than the input
+    full = docs.select(*names).join(gone.hint("merge"), (key == gone.id) & docs.doc_id.isNotNull(), "left").select(*names, "__gone")
     at_text, at_gone = names.index("text"), len(names)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
