@@ -5,7 +5,9 @@ the same entity has the same surrogate in all documents and formats (coreference
 punctuation, an address in capitals, a host that several addresses share, a name with or without a first name. A surrogate
 keeps the shape: digits stay digits, letters letters of the same case and script, card numbers keep their check digit,
 addresses in private networks stay there, first names keep their gender. Surrogates that two entities of a type share, or that
-are entities of the corpus themselves, are drawn again until all are distinct. DataFrame functions only.
+are entities of the corpus themselves, are drawn again until all are distinct; those of a space that the corpus nearly fills
+take each other's values in the end. Names that stand behind a title are found again where they stand bare in the same
+text. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "name": rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}'-]*\p{{Ll}}(?: \p{{Lu}}[\p{{L}}'-]*\p{{Ll}})?",
 }
-ANY = _START + "(?:" + "|".join(PATTERNS.values()) + ")" + _STOP
+_ALL = "|".join(PATTERNS.values())
+ANY = _START + "(?:" + _ALL + ")" + _STOP
 #: What every entity has; texts without it are not searched.
 TRIGGER = rf"[0-9@=:]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
 #: First names by gender and script, and syllables of surnames by script.
@@ -141,18 +144,40 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def _pattern(names: Column) -> Column:
+    """The pattern of a text's entities; names: its bare names, each behind a bar."""
+    return F.concat(F.lit(_START + "(?:" + _ALL), names, F.lit(")" + _STOP))
+
+
 def entities(rows: DataFrame) -> DataFrame:
-    """(row, text) -> a row for each entity: row, nth, raw, kind and the one or two things in it (kind and normal form): a1, n1, a2, n2."""
+    """(row, text) -> a row for each entity: row, nth, raw, kind and the one or two things in it (kind and normal form): a1, n1, a2, n2.
+
+    names: the names behind titles in the text, each behind a bar, which are entities of the text where they stand bare as well
+    (a last name if it is one anywhere in the text; a first name of both genders is a woman's).
+    """
     some = rows.where(F.col("text").rlike(TRIGGER))
-    found = some.select("row", F.posexplode(F.regexp_extract_all("text", F.lit("(" + ANY + ")"), F.lit(1))).alias("nth", "raw"))
+    some = some.withColumn("found", F.regexp_extract_all("text", F.lit("(" + ANY + ")"), F.lit(1))).where(F.size("found") > 0)
+    is_woman, titles = rf"^(?:{_FEMALE})\.? ", rf"^(?:{_MALE}|{_FEMALE})\.? "
+    titled = F.filter("found", lambda x: x.rlike("^(?:" + PATTERNS["name"] + ")$"))
+    pairs = lambda c: F.filter(c, lambda x: F.regexp_replace(x, titles, "").contains(" "))
+    first = lambda c: F.array_distinct(F.transform(pairs(c), lambda x: F.substring_index(F.regexp_replace(x, titles, ""), " ", 1)))
+    some = some.withColumn("titled", titled)
+    some = some.withColumn("last", F.array_distinct(F.transform("titled", lambda x: F.substring_index(F.regexp_replace(x, titles, ""), " ", -1))))
+    some = some.withColumn("women", first(F.filter("titled", lambda x: x.rlike(is_woman)))).withColumn("first", first("titled"))
+    # longer names first, so that one that goes on from another is met whole
+    bare = F.transform(F.sort_array(F.transform(F.array_union("last", "first"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), False), lambda x: F.concat(F.lit("|"), x["x"]))
+    some = some.withColumn("names", F.array_join(bare, ""))
+    raws = F.when(F.col("names") == "", F.col("found")).otherwise(F.regexp_extract_all("text", F.concat(F.lit("("), _pattern(F.col("names")), F.lit(")")), F.lit(1)))
+    found = some.select("row", "names", "last", "women", F.posexplode(raws).alias("nth", "raw"))
     raw = F.col("raw")
     kind = reduce(lambda c, x: c.when(raw.rlike("^(?:" + x[1] + ")$"), x[0]), list(PATTERNS.items())[1:], F.when(raw.rlike("^(?:" + PATTERNS["secret"] + ")$"), "secret"))
+    kind = kind.when(F.array_contains("last", raw), "last").when(F.array_contains("women", raw), "first f").otherwise("first m")
     found = found.withColumn("kind", kind)
     kind = F.col("kind")
     digits = F.regexp_replace(raw, "[^0-9]", "")
-    name = F.regexp_replace(raw, rf"^(?:{_MALE}|{_FEMALE})\.? ", "")
+    name = F.regexp_replace(raw, titles, "")
     two = name.contains(" ")
-    gender = F.when(raw.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
+    given = F.substring_index(name, " ", 1)
     n1 = (
         F.when(kind == "email", F.lower(raw))
         .when(kind == "secret", F.regexp_extract(raw, r"[=:] ?\"?([A-Za-z0-9+/_-]+)$", 1))
@@ -161,14 +186,32 @@ def entities(rows: DataFrame) -> DataFrame:
         .when(kind == "name", F.substring_index(name, " ", -1))
         .otherwise(raw)
     )
-    n2 = F.when(kind == "email", F.substring_index(F.lower(raw), "@", -1)).when((kind == "name") & two, F.substring_index(name, " ", 1))
+    n2 = F.when(kind == "email", F.substring_index(F.lower(raw), "@", -1)).when((kind == "name") & two, given)
     a1 = F.when(kind == "name", "last").otherwise(kind)
-    a2 = F.when(kind == "email", "domain").when((kind == "name") & two, F.concat(F.lit("first "), gender))
-    return found.select("row", "nth", "raw", "kind", a1.alias("a1"), n1.alias("n1"), a2.alias("a2"), n2.alias("n2"))
+    a2 = F.when(kind == "email", "domain").when((kind == "name") & two, F.when(raw.rlike(is_woman), "first f").otherwise("first m"))
+    return found.select("row", "nth", "raw", "kind", "names", a1.alias("a1"), n1.alias("n1"), a2.alias("a2"), n2.alias("n2"))
+
+
+def _swapped(left: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate): of those of one shape, in a keyed order, each takes the next one's value, the last the first's.
+
+    No one else's surrogate is such a value. One that is alone in its shape raises an error when the table is written.
+    """
+    norm = F.col("norm")
+    shape = F.when(F.col("kind") == "ip", F.substring_index(norm, ".", 2)).otherwise(F.regexp_replace(F.regexp_replace(norm, "[0-9]", "0"), r"\p{Ll}", "a"))
+    window = Window.partitionBy("kind", "shape").orderBy("by", "norm")
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = left.withColumn("shape", shape).withColumn("by", _stream(F.lit(key), F.col("kind"), norm))
+    out = out.withColumn("surrogate", F.coalesce(F.lead("norm").over(window), F.first("norm").over(whole)))
+    alone = F.raise_error(F.lit("an entity found no surrogate of its own")).cast("string")
+    return out.select("kind", "norm", F.when(F.col("surrogate") == norm, alone).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
 def surrogates(things: DataFrame, key: str, most: int = 60) -> DataFrame:
-    """(kind, norm, surrogate) of the distinct (kind, norm) in things; of one kind, all surrogates differ, and none is a norm."""
+    """(kind, norm, surrogate) of the distinct (kind, norm) in things; of one kind, all surrogates differ, and none is its own norm.
+
+    None is a norm at all, but of those that found none in so many draws (as the corpus nearly fills their space, such as a private network).
+    """
     parts = int(things.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo = written(things.select("kind", "norm").distinct().repartition(parts, "kind", "norm"), "things")
     taken = todo.select("kind", F.col("norm").alias("surrogate"))
@@ -183,7 +226,7 @@ def surrogates(things: DataFrame, key: str, most: int = 60) -> DataFrame:
         if todo.isEmpty():
             return written(done, "surrogates")
         taken = taken.union(good.select("kind", "surrogate"))
-    raise ValueError("some entities found no surrogate of their own")
+    return written(done.union(_swapped(todo, key)), "surrogates")
 
 
 def _rendered() -> Column:
@@ -223,12 +266,12 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     things = found.select(F.col("a1").alias("kind"), F.col("n1").alias("norm")).union(found.where("a2 is not null").select("a2", "n2"))
     table = surrogates(things, key)
     s1, s2 = table.toDF("a1", "n1", "s1"), table.toDF("a2", "n2", "s2")
-    full = found.join(s1, ["a1", "n1"]).join(s2, ["a2", "n2"], "left").select("row", "nth", _rendered().alias("new"))
-    new = full.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "new"))).alias("new")).select(F.col("row").alias("__row"), F.transform("new", lambda x: x["new"]).alias("__new"))
+    full = found.join(s1, ["a1", "n1"]).join(s2, ["a2", "n2"], "left").select("row", "nth", "names", _rendered().alias("new"))
+    new = full.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "new"))).alias("new"), F.first("names").alias("__names")).select(F.col("row").alias("__row"), "__names", F.transform("new", lambda x: x["new"]).alias("__new"))
     new = written(new, "replacements")
     if new.count() <= BROADCAST_ROWS:
         new = F.broadcast(new)
-    parts = F.split("text", ANY, -1)
+    parts = F.split("text", _pattern(F.col("__names")), -1)
     text = F.array_join(F.flatten(F.zip_with(parts, "__new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = rows.join(new, "__row", "left")
     return out.select(*(F.when(F.col("__new").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in names), F.coalesce(F.size("__new"), F.lit(0)).cast("bigint").alias("n_entities"))

@@ -20,6 +20,8 @@ ROWS = [
     (7, "clean text: version 2.0 of 1999, a|b"),
     (None, "anna.b2@mail3.example.com"),
     (8, "x@y.de " * 3000),
+    (9, "Mrs Mary Smith-Jones and Mr. John Smith. Smith said that John, Mary Smith-Jones and Smithson left; 'Smith' and SMITH too."),
+    (10, "Smith is bare here."),
 ]
 
 
@@ -41,6 +43,10 @@ def test_shapes_and_coreference(spark, tmp_path):
     assert m[1] in pii.FIRST["m", "latin"] and m[3] in pii.FIRST["f", "latin"] and m[7] in pii.FIRST["m", "cyrillic"] and re.search("[а-я]", m[8])
     assert m[2] == m[4] == m[6] != m[5] and m[2] != "Smith"
     assert got[8].n_entities == 3000 and len(set(got[8].text.split())) == 1
+    john, smith, mary = m[1], m[2], m[3]
+    m = re.fullmatch(r"Mrs (\S+) (\S+) and Mr\. (\S+) (\w+)\. (\S+) said that (\w+), (\S+) (\S+) and Smithson left; '(\w+)' and SMITH too\.", got[9].text)
+    assert m[1] == m[7] == mary and m[2] == m[8] != smith and m[3] == m[6] == john and m[4] == m[5] == m[9] == smith
+    assert got[9].n_entities == 7 and got[10].text == ROWS[-1][1]
     save_docs(spark, tmp_path / "none", [])
     assert pii.op2_pii_surrogates(spark, str(tmp_path / "none")).count() == 0
 
@@ -54,6 +60,13 @@ def test_surrogates_stay_distinct(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_a_full_space_swaps_its_values(spark):
+    ips = [("ip", f"192.168.{i}.{j}") for i in range(1, 255) for j in range(1, 255, 3) if i < 40] + [("ssn", f"{i}") for i in range(10)]
+    got = pii.surrogates(spark.createDataFrame(ips, "kind string, norm string"), "k", most=3).collect()
+    assert len(got) == len(ips) == len({(r.kind, r.surrogate) for r in got})
+    assert all(r.norm != r.surrogate and (r.kind == "ssn" or r.surrogate.startswith("192.168.")) for r in got)
+
+
 def test_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     any_re = re.compile(r"[a-z.0-9]+@[a-z0-9.]+|\+1 \(\d{3}\) \d{3}-\d{4}|\d{16}|AKIA\w{16}|\d+\.\d+\.\d+\.\d+|password=\w+")
