@@ -115,3 +115,50 @@ def blended(mix: DataFrame, proxies: DataFrame) -> DataFrame:
     """(fund, ret, priced): weighted proxy returns (class, ret) of a mix (fund, class, w) over its priced weight, which is given too."""
     j = mix.join(proxies, "class", "left").withColumn("known", F.when(F.col("ret").isNotNull(), F.col("w")))
     return j.groupBy("fund").agg(F.try_divide(F.sum(F.col("w") * F.col("ret")), F.sum("known")).alias("ret"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("priced"))
+
+
+#: Classes that are divided into regions.
+REGIONAL = ("Equities", "Bonds")
+
+
+def regional_slices(held: DataFrame, own: DataFrame, classes: DataFrame, regions: DataFrame, cash: float = 0.0) -> DataFrame:
+    """(symbol, class, region, value, ret): positions looked through by fractions, and a slice of cash.
+
+    classes: (symbol, class, fraction) and regions: (symbol, class, region, share), of funds that are looked through; others
+    are whole in their own class and region (own: symbol, class, region), `Other` without one. Other classes than REGIONAL have no region.
+    """
+    regional = F.col("class").isin(*REGIONAL)
+    h = held.where("mtm is not null").select("symbol", "mtm", "ret")
+    mixed = h.join(classes.where("fraction <> 0"), "symbol").join(regions.where(regional).where("share <> 0"), ["symbol", "class"], "left")
+    mixed = mixed.select("symbol", "class", "region", (F.col("mtm") * F.col("fraction") * F.coalesce("share", F.lit(1.0))).alias("value"), "ret")
+    whole = h.join(classes.select("symbol").distinct(), "symbol", "left_anti").join(own, "symbol", "left")
+    whole = whole.select("symbol", F.coalesce("class", F.lit("Other")).alias("class"), F.when(regional, F.col("region")).alias("region"), F.col("mtm").alias("value"), "ret")
+    slices = mixed.union(whole)
+    if not cash:
+        return slices
+    return slices.union(held.sparkSession.createDataFrame([("CASH", "Cash", None, float(cash), 0.0)], "symbol string, class string, region string, value double, ret double"))
+
+
+def regional_allocation(slices: DataFrame) -> DataFrame:
+    """(level, parent, label, n, value, pct, ret): classes (level 0) and their regions (level 1); percent of the net total.
+
+    The return is over the gross value of the slices that have one.
+    """
+    s = slices.withColumn("region", F.when(F.col("class").isin(*REGIONAL), F.coalesce("region", F.lit("Unclassified"))))
+    known = F.when(F.col("ret").isNotNull(), F.col("value"))
+    g = s.groupingSets([["class"], ["class", "region"]], "class", "region").agg(F.grouping("region").alias("up"), F.count("*").alias("n"), F.sum("value").alias("value"), F.try_divide(F.sum(known * F.col("ret")), F.sum(F.abs(known))).alias("ret"))
+    up = F.col("up") == 1
+    g = g.where(up | F.col("class").isin(*REGIONAL)).join(F.broadcast(s.agg(F.sum("value").alias("total"))))  # one row
+    return g.select((1 - F.col("up")).cast("int").alias("level"), F.when(~up, F.col("class")).alias("parent"), F.when(up, F.col("class")).otherwise(F.col("region")).alias("label"), "n", "value", F.try_divide(100 * F.col("value"), F.col("total")).alias("pct"), "ret")
+
+
+def shocked_by_region(slices: DataFrame, shocks: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(scenario, symbol, pnl): by the override of the symbol, else the shock of class and region, else that of the class, else none.
+
+    The scenario tables are small by nature: one row for each scenario and class, region or symbol.
+    """
+    j = slices.crossJoin(F.broadcast(shocks.select("scenario").distinct()))  # scenarios are a handful
+    j = j.join(F.broadcast(overrides.withColumnRenamed("pct", "own")), ["scenario", "symbol"], "left")
+    j = j.join(F.broadcast(shocks.where("region is not null").withColumnRenamed("pct", "of_region")), ["scenario", "class", "region"], "left")
+    j = j.join(F.broadcast(shocks.where("region is null").select("scenario", "class", F.col("pct").alias("of_class"))), ["scenario", "class"], "left")
+    return j.select("scenario", "symbol", (F.col("value") * F.coalesce("own", "of_region", "of_class", F.lit(0.0)) / 100).alias("pnl"))

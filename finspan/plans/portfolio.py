@@ -255,6 +255,48 @@ def scenario_top_symbols(spark, sf):
     return s.where(low | ((F.col("best") <= 3) & (F.col("pnl") > 50000))).select("scenario", "symbol", "pnl", F.when(low, "worst").otherwise("best").alias("side"))
 
 
+#: Funds that are looked through, their fractions by class and by region, and the cash beside the book.
+MIX = [("Brand#1", "Equities", 0.5), ("Brand#1", "Bonds", 0.3), ("Brand#1", "Cash", 0.2), ("Brand#2", "Equities", 1.0), ("Brand#2", "Bonds", 0.0)]
+REGIONS = [("Brand#1", "Equities", "US", 0.6), ("Brand#1", "Equities", "EM", 0.4), ("Brand#1", "Bonds", "EM", 1.0)]
+CASH = 50_000.0
+_OWN = "CASE right(p_brand, 1) WHEN '3' THEN 'Equities' WHEN '4' THEN 'Equities' WHEN '5' THEN 'Bonds' WHEN '6' THEN 'Commodities' ELSE 'Equities' END"
+_REGION = "CASE right(p_brand, 1) WHEN '3' THEN 'US' WHEN '4' THEN 'International' WHEN '5' THEN 'US' WHEN '6' THEN 'US' END"
+_REGIONAL = f"""{POS}, mix(symbol, class, fraction) AS (VALUES {", ".join(map(str, MIX))}), reg(symbol, class, region, share) AS (VALUES {", ".join(map(str, REGIONS))}), own AS (SELECT DISTINCT p_brand AS symbol, {_OWN} AS class, {_REGION} AS region FROM part),
+sl AS (SELECT p.symbol, c.class, g.region, mtm * c.fraction * coalesce(g.share, 1) AS value, ret FROM pos p JOIN mix c ON c.symbol = p.symbol AND c.fraction <> 0 LEFT JOIN reg g ON g.symbol = c.symbol AND g.class = c.class
+UNION ALL SELECT p.symbol, o.class, CASE WHEN o.class IN ('Equities', 'Bonds') THEN o.region END, mtm, ret FROM pos p JOIN own o ON o.symbol = p.symbol WHERE p.symbol NOT IN (SELECT symbol FROM mix) UNION ALL SELECT 'CASH', 'Cash', NULL, {CASH}, 0.0)"""
+
+
+def regional(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, class, region, value, ret) of the book and its cash."""
+    own = P.table(spark, sf, "part").select(F.col("p_brand").alias("symbol"), F.expr(_OWN).alias("class"), F.expr(_REGION).alias("region")).distinct()
+    mix, regions = spark.createDataFrame(MIX, "symbol string, class string, fraction double"), spark.createDataFrame(REGIONS, "symbol string, class string, region string, share double")
+    return O.regional_slices(positions(spark, sf), own, mix, regions, CASH)
+
+
+@query(
+    f"""WITH {_REGIONAL}, s AS (SELECT *, CASE WHEN class IN ('Equities', 'Bonds') THEN coalesce(region, 'Unclassified') END AS part FROM sl), g AS (SELECT 0 AS level, NULL AS parent, class AS label, value, ret FROM s UNION ALL SELECT 1, class, part, value, ret FROM s WHERE part IS NOT NULL)
+SELECT CAST(level AS INTEGER) AS level, parent, label, count(*) AS n, round(sum(value), 2) AS value, round(100 * sum(value) / (SELECT sum(value) FROM sl), 6) AS pct, round(sum(value * ret) / nullif(sum(CASE WHEN ret IS NOT NULL THEN abs(value) END), 0), 6) AS ret FROM g GROUP BY 1, 2, 3"""
+)
+def allocation_by_region(spark, sf):
+    """Classes with their regions below them, funds looked through, cash as a class."""
+    return rounded(O.regional_allocation(regional(spark, sf)).withColumn("value", F.round("value", 2)))
+
+
+#: Shocks in percent by scenario, class and region (none: all other regions of the class).
+REGIONAL_SHOCKS = [("crash", "Equities", "US", -40.0), ("crash", "Equities", "EM", -50.0), ("crash", "Equities", None, -30.0), ("crash", "Bonds", "US", 10.0), ("crash", "Cash", None, 0.0), ("rates", "Bonds", None, -8.0), ("rates", "Commodities", None, 3.0)]
+
+
+@query(
+    f"""WITH {_REGIONAL}, shock(scenario, class, region, pct) AS (VALUES {", ".join(f"('{a}', '{b}', {f"'{c}'" if c else "NULL"}, {d})" for a, b, c, d in REGIONAL_SHOCKS)}), override(scenario, symbol, pct) AS (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in OVERRIDES)})
+SELECT k.scenario, s.symbol, round(sum(s.value * coalesce(o.pct, r.pct, c.pct, 0) / 100), 2) AS pnl FROM (SELECT DISTINCT scenario FROM shock) k CROSS JOIN sl s LEFT JOIN override o ON o.scenario = k.scenario AND o.symbol = s.symbol
+LEFT JOIN shock r ON r.scenario = k.scenario AND r.class = s.class AND r.region = s.region LEFT JOIN shock c ON c.scenario = k.scenario AND c.class = s.class AND c.region IS NULL GROUP BY 1, 2"""
+)
+def regional_scenarios(spark, sf):
+    """Scenario results by symbol, with shocks by class and region."""
+    hit = O.shocked_by_region(regional(spark, sf), spark.createDataFrame(REGIONAL_SHOCKS, "scenario string, class string, region string, pct double"), spark.createDataFrame(OVERRIDES, "scenario string, symbol string, pct double"))
+    return hit.groupBy("scenario", "symbol").agg(F.round(F.sum("pnl"), 2).alias("pnl"))
+
+
 @query(
     f"""WITH {POS}, vol AS (SELECT ticker, avg(volume) AS adv FROM r, r_l WHERE seq > last - 20 GROUP BY 1), d AS (SELECT mtm, abs(quantity) / nullif(adv, 0) AS days FROM pos LEFT JOIN vol ON ticker = symbol)
 SELECT CASE WHEN days IS NULL THEN 'unknown' WHEN days <= 5 THEN 'week' WHEN days <= 20 THEN 'month' ELSE 'longer' END AS bucket, count(*) AS n, round(sum(abs(mtm)), 2) AS value, round(100 * sum(abs(mtm)) / (SELECT sum(abs(mtm)) FROM pos), 6) AS pct FROM d GROUP BY 1"""

@@ -88,6 +88,26 @@ def test_scenario_precedence(spark):
     assert got == {("s", "A"): 7, ("s", "B"): -10, ("s", "C"): -5, ("t", "A"): 1, ("t", "B"): 1, ("t", "C"): 0}
 
 
+def test_look_through_by_class_and_region(spark):
+    held = spark.createDataFrame([("MULTI", 200.0, 1.0), ("LP", 900.0, None), ("X", -100.0, 2.0), ("GONE", None, 1.0)], "symbol string, mtm double, ret double")
+    own = spark.createDataFrame([("LP", "Equities", None), ("GONE", "Bonds", "US")], "symbol string, class string, region string")
+    classes = spark.createDataFrame([("MULTI", "Equities", 0.5), ("MULTI", "Bonds", 0.3), ("MULTI", "Cash", 0.2), ("MULTI", "Other", 0.0)], "symbol string, class string, fraction double")
+    regions = spark.createDataFrame([("MULTI", "Equities", "US", 0.75), ("MULTI", "Equities", "EM", 0.25), ("MULTI", "Cash", "US", 0.5)], "symbol string, class string, region string, share double")
+    s = O.regional_slices(held, own, classes, regions, 50.0)
+    got = {(r.level, r.parent, r.label): (r.n, r.value, r.ret) for r in O.regional_allocation(s).collect()}
+    assert got[0, None, "Equities"] == (3, pytest.approx(1000), pytest.approx(1.0))
+    assert got[1, "Equities", "US"][1] == pytest.approx(75) and got[1, "Equities", "EM"][1] == pytest.approx(25)
+    assert got[1, "Equities", "Unclassified"] == (1, 900.0, None)
+    assert got[1, "Bonds", "Unclassified"][1] == pytest.approx(60) and got[0, None, "Other"] == (1, -100.0, -2.0)
+    assert got[0, None, "Cash"] == (2, pytest.approx(90), pytest.approx(40 / 90)) and len(got) == 8
+    shocks = spark.createDataFrame([("s", "Equities", "US", -40.0), ("s", "Equities", None, -30.0), ("s", "Bonds", "US", 10.0)], "scenario string, class string, region string, pct double")
+    own = spark.createDataFrame([("s", "X", -80.0)], "scenario string, symbol string, pct double")
+    pnl = {}
+    for r in O.shocked_by_region(s, shocks, own).collect():
+        pnl[r.symbol] = pnl.get(r.symbol, 0) + r.pnl
+    assert pnl == {"MULTI": pytest.approx(-37.5), "LP": pytest.approx(-270), "X": pytest.approx(80), "CASH": 0}
+
+
 def test_tag_shares_and_active_weights(spark):
     tags = spark.createDataFrame([("A", "x", "S"), ("A", "y", "S"), ("B", "x", "S")], "ticker string, tag string, axis string")
     pnl = {r.tag: (r.bps, r.n) for r in O.tag_pnl(spark.createDataFrame([("A", 10.0), ("B", 4.0)], "ticker string, bps double"), tags).collect()}
