@@ -46,8 +46,8 @@ FIRST = {
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Раиса Софья Юлия".split(),
 }
 SYLLABLES = {"latin": "ba ce do fa gu hel ki lan mer no pe ras sol ti vor wen".split(), "cyrillic": "ба ве го да ко ла ми но пе ра со ту фи хо ци ша".split()}
-#: Largest number of documents with entities whose replacements are broadcast; with more, texts are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of replacements that are broadcast at most, with ENTRY more for each row and replacement; with more, texts are shuffled.
+BROADCAST_BYTES, ENTRY = 128 << 20, 32
 
 
 def _stream(*parts: Column) -> Column:
@@ -269,7 +269,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     full = found.join(s1, ["a1", "n1"]).join(s2, ["a2", "n2"], "left").select("row", "nth", "names", _rendered().alias("new"))
     new = full.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "new"))).alias("new"), F.first("names").alias("__names")).select(F.col("row").alias("__row"), "__names", F.transform("new", lambda x: x["new"]).alias("__new"))
     new = written(new, "replacements")
-    if new.count() <= BROADCAST_ROWS:
+    size = F.octet_length(F.concat_ws("", "__names", "__new")) + (F.size("__new") + 1) * ENTRY
+    if (new.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
         new = F.broadcast(new)
     parts = F.split("text", _pattern(F.col("__names")), -1)
     text = F.array_join(F.flatten(F.zip_with(parts, "__new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")

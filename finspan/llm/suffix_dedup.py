@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finspan.llm import common
@@ -36,8 +36,8 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 HOT, SLICE = 10_000, 8
 #: Bytes that are sorted together, at least (to the end of an anchor), and suffixes in a bucket, about.
 SORT_BYTES, BUCKET = 2 << 20, 1 << 17
-#: Rows that are broadcast at most; with more, texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that are broadcast at most, as ENTRY bytes for each row and each thing in it; with more, texts are shuffled.
+BROADCAST_BYTES, ENTRY = 256 << 20, 64
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -250,8 +250,10 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _small(df: DataFrame, things: Column) -> DataFrame:
+    """df to be broadcast if it is small; things: how many things of up to ENTRY bytes a row holds."""
+    size = df.agg(F.sum((things + 1) * ENTRY)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _join_hot(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
@@ -280,9 +282,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     asked = equal.where("mixed and not hot").selectExpr("r.row as row", "struct(key, own, r.start as start, r.size as size, r.to_anchor as to_anchor, hot) as r")
     asked = asked.union(some.where("hot").selectExpr("row", ask)).groupBy("row").agg(F.collect_list("r").alias("asked"))
     asked = written(asked, "asked")
-    n_asked = asked.count()
     kept = "key bigint, own bigint, row bigint, start bigint, size int, to_anchor int"
-    slices = written(rows.join(_small(asked, n_asked), "row").select("row", "text", "asked").mapInArrow(_slices, f"{kept}, data binary"), "slices")
+    slices = written(rows.join(_small(asked, F.size("asked")), "row").select("row", "text", "asked").mapInArrow(_slices, f"{kept}, data binary"), "slices")
     each = slices.groupBy("key", "own").agg(F.first("to_anchor").alias("to_anchor"), F.count("*").alias("times"), F.first("data").alias("data"))
     found = each.repartition("key").sortWithinPartitions("key").select("key", "own", "to_anchor", "times", "data").mapInArrow(_sorted_runs, "key bigint, own bigint, first int, last int")
     part = slices.select("key", "own", "row", "start").join(found, ["key", "own"]).select("row", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + WIDTH).alias("b"))
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             size = [len(k) + g for k, g in zip(left, gone, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, n)), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    full = rows.join(_small(spans, spans.count()), "row", "left").select("doc_id", "text", "spans")
+    full = rows.join(_small(spans, F.length("spans") / 16), "row", "left").select("doc_id", "text", "spans")
     return full.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

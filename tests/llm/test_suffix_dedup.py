@@ -55,7 +55,7 @@ def test_hot_anchors_and_small_chunks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sd, "HOT", 2)
     monkeypatch.setattr(sd, "_CHUNK", 500)
     monkeypatch.setattr(sd, "BUCKET", 64)
-    monkeypatch.setattr(sd, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
     save_docs(spark, tmp_path, rows_with_repeats())
     assert got(spark, tmp_path) == brute(rows_with_repeats())
 
