@@ -12,9 +12,11 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ SCALE = 2_000_000
 KEEP_SUFFIXES, KEEP_BYTES = 400_000, 256 << 20
 #: For the ranges' bounds, about so many suffixes of so many documents are looked at for each range. They change where ranges end, and no result.
 BOUND_ROWS, BOUND_DOCS, BOUND_BYTES = 60, 6, 64
+#: Sorted rows that are counted at one time.
+STEP_ROWS = 100_000
 
 #: Letters lower-cased; what ends a piece becomes \n, what ends a word a space.
 _PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -39,128 +43,141 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def suffixes(text: bytes, most: int = MAX_WORDS) -> Iterator[bytes]:
-    """The suffix at each word, of so many words at most, which a zero byte joins; zero bytes inside words are escaped."""
-    text = text.translate(_PLAIN)
-    if b"\0" in text or b"\1" in text:
-        text = text.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
+def _escaped(words: bytes) -> bytes:
+    return words.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1") if b"\0" in words or b"\1" in words else words
+
+
+def _plain(words: bytes) -> bytes:
+    return _ESCAPED.sub(lambda m: b"\0" if m[1] == b"\1" else b"\1", words) if b"\1" in words else words
+
+
+def suffixes(lang: str, text: bytes, most: int = MAX_WORDS) -> Iterator[bytes]:
+    """The suffix at each word, of so many words at most, behind its language, joined by zero bytes; those inside words are escaped."""
+    head = _escaped(lang.encode())
     join = b"\0".join
-    for piece in text.split(b"\n"):
+    for piece in _escaped(text.translate(_PLAIN)).split(b"\n"):
         words = piece.split()
         n = len(words)
         if n >= most:
-            yield from map(join, zip(*(words[i:] for i in range(most)), strict=False))
+            yield from map(join, zip(repeat(head), *(words[i:] for i in range(most)), strict=False))
         for i in range(max(n - most + 1, 0), n):
-            yield join(words[i:])
-
+            yield join([head, *words[i:]])
 
-def phrase(suffix: bytes) -> bytes:
-    """A suffix as words with spaces between them."""
-    out = suffix.replace(b"\0", b" ")
-    return _ESCAPED.sub(lambda m: b"\0" if m[1] == b"\1" else b"\1", out) if b"\1" in out else out
 
-
-def _added_up(bounds: list[tuple[str, bytes]], most: int):
+def _added_up(bounds: list[bytes], most: int):
     """Suffixes with their numbers and the range that they fall into."""
-    def sent(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, c in counts.items():
-            keys = list(c)
-            for i in range(0, len(keys), 50_000):
-                some = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bisect_left(bounds, (lang, x)) for x in some], pa.int32()), pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array([c[x] for x in some], pa.int64())],
-                    names=["range", "lang", "suffix", "n"],
-                )
+
+    def sent(counts: Counter) -> Iterator[pa.RecordBatch]:
+        keys, numbers = list(counts), list(counts.values())
+        for i in range(0, len(keys), 50_000):
+            some = keys[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bisect_left(bounds, x) for x in some], pa.int32()), pa.array(some, pa.binary()), pa.array(numbers[i : i + 50_000], pa.int64())], names=["range", "suffix", "n"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: Counter = Counter()
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rest = suffixes(text, most)
+                rest = suffixes(lang, text, most)
                 while some := list(islice(rest, 50_000)):
-                    counts.setdefault(lang, Counter()).update(some)
+                    counts.update(some)
                     size += sum(map(len, some))
-                    if size > KEEP_BYTES or sum(map(len, counts.values())) > KEEP_SUFFIXES:
+                    if size > KEEP_BYTES or len(counts) > KEEP_SUFFIXES:
                         yield from sent(counts)
-                        counts, size = {}, 0
+                        counts, size = Counter(), 0
         yield from sent(counts)
 
     return run
 
 
-def _bounds(text: DataFrame, ranges: int, most: int) -> list[tuple[str, bytes]]:
+def _bounds(text: DataFrame, ranges: int, most: int) -> list[bytes]:
     """Where ranges of about equal numbers of distinct suffixes end, from a sample of documents."""
     documents = max(text.count(), 1)
     sample = text.sample(fraction=min(1.0, (BOUND_DOCS * ranges + 100) / documents), seed=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[str, bytes]] = set()
+            found: set[bytes] = set()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((lang, x[:BOUND_BYTES]) for i, x in enumerate(suffixes(text, most)) if not i % 16)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], names=["lang", "suffix"])
+                found.update(x[:BOUND_BYTES] for i, x in enumerate(suffixes(lang, text, most)) if not i % 16)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["suffix"])
 
-    few = sample.mapInArrow(run, "lang string, suffix binary").distinct().orderBy(F.xxhash64("lang", "suffix")).limit(BOUND_ROWS * ranges)
-    rows = sorted((r[0], bytes(r[1])) for r in few.collect())  # BOUND_ROWS short rows for each range
+    few = sample.mapInArrow(run, "suffix binary").distinct().orderBy(F.xxhash64("suffix")).limit(BOUND_ROWS * ranges)
+    rows = sorted(bytes(r[0]) for r in few.collect())  # BOUND_ROWS short rows for each range
     return sorted({rows[i * len(rows) // ranges] for i in range(1, ranges)}) if rows else []
 
 
-def _prefixes(least: int):
-    """Counts of all prefixes of sorted suffixes, by one stack.
+class _Stack:
+    """Counts of all prefixes of sorted suffixes: one number for each prefix of the last suffix that is still open.
 
-    A prefix's count is whole unless its run of suffixes meets the range's first or last row; words 0 stands for a language's words.
+    A prefix's count is whole unless its run of suffixes meets the range's first or last row. A language alone is a prefix of no words.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        words: list[bytes] = []  # of the last suffix, and for each of its prefixes the number so far and whether the run began with the first row
-        counts: list[int] = []
-        first: list[bool] = []
-        now, total, any_rows = None, 0, False
-
-        def popped(to: int, end: bool = False) -> None:
-            while len(words) > to:
-                n, partial = counts.pop(), first.pop() or end
-                if counts:
-                    counts[-1] += n
-                if partial or n >= least:
-                    out.append((now, phrase(b"\0".join(words)), len(words), n, partial))
-                words.pop()
+    def __init__(self, width: int, least: int):
+        self.width, self.least, self.last = width, least, None
+        self.sums, self.first = np.zeros(width, np.int64), np.ones(width, bool)
+
+    def _row(self, suffix: bytes, k: int, n: int, partial: bool) -> tuple:
+        lang, *words = suffix.split(b"\0")[: k + 1]
+        return _plain(lang), _plain(b" ".join(words)), k, n, partial
+
+    def add(self, suffixes: pa.Array, n: np.ndarray) -> list[tuple]:
+        """Go on with some rows; the rows lang, phrase, words, f, partial of prefixes that end among them."""
+        if self.last is not None:
+            suffixes, n = pa.concat_arrays([pa.array([self.last], pa.binary()), suffixes]), np.concatenate([[0], n])
+        lists, m = pc.split_pattern(suffixes, b"\0"), len(n)
+        sizes = lists.value_lengths().to_numpy()
+        words = np.full((m, self.width), -1, np.int32)
+        words[np.repeat(np.arange(m), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().dictionary_encode().indices.to_numpy()
+        same = np.zeros((m, self.width), bool)
+        same[1:] = np.logical_and.accumulate((words[1:] == words[:-1]) & (words[1:] >= 0), axis=1)
+        total, out = np.concatenate([[0], np.cumsum(n)]), []
+        for k in range(self.width):
+            starts = np.flatnonzero(~same[:, k])
+            sums = total[np.append(starts[1:], m)] - total[starts]
+            partial = np.zeros(len(starts), bool)
+            sums[0] += self.sums[k]
+            partial[0] = self.first[k]
+            ended = (words[starts, k] >= 0) & (partial | (sums >= (self.least if k else 0)))
+            ended[-1] = False  # goes on with the rows to come
+            out += [self._row(suffixes[int(starts[i])].as_py(), k, int(sums[i]), bool(partial[i]) or not k) for i in np.flatnonzero(ended)]
+            there = words[-1, k] >= 0
+            self.sums[k], self.first[k] = (sums[-1], partial[-1]) if there else (0, False)
+        self.last = suffixes[m - 1].as_py()
+        return out
+
+    def end(self) -> list[tuple]:
+        return [self._row(self.last, k, int(self.sums[k]), True) for k in range(self.last.count(b"\0") + 1)] if self.last is not None else []
+
+
+def _prefixes(most: int, least: int):
+    """Sorted suffixes and their numbers to the counts of their prefixes."""
+
+    def counted(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        types = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "phrase", "words", "f", "partial"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, held, rows = _Stack(most + 1, least), [], 0
         for batch in batches:
-            for lang, suffix, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if lang != now:
-                    popped(0)
-                    if now is not None:
-                        out.append((now, b"", 0, total, True))
-                    now, total = lang, 0
-                total += n
-                new = suffix.split(b"\0")
-                same, most = 0, min(len(words), len(new))
-                while same < most and words[same] == new[same]:
-                    same += 1
-                popped(same)
-                for w in new[same:]:
-                    words.append(w)
-                    counts.append(0)
-                    first.append(not any_rows)
-                counts[-1] += n
-                any_rows = True
-            yield _counted(out)
-            out.clear()
-        popped(0, end=True)
-        if now is not None:
-            out.append((now, b"", 0, total, True))
-        yield _counted(out)
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= STEP_ROWS:
+                yield counted(_go_on(stack, held))
+                held, rows = [], 0
+        if held:
+            yield counted(_go_on(stack, held))
+        yield counted(stack.end())
 
     return run
 
 
-def _counted(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "phrase", "words", "f", "partial"])
+def _go_on(stack: _Stack, held: list[pa.RecordBatch]) -> list[tuple]:
+    return stack.add(pa.concat_arrays([b.column(0) for b in held]), np.concatenate([b.column(1).to_numpy() for b in held]))
 
 
 def phrase_counts(docs: DataFrame, most: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
@@ -172,9 +189,10 @@ def phrase_counts(docs: DataFrame, most: int = MAX_WORDS, least: int = LEAST) ->
     common.small_batches(spark)
     text = _text(docs)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = text.mapInArrow(_added_up(_bounds(text, ranges, most), most), "range int, lang string, suffix binary, n bigint")
-    rows = rows.repartitionById(ranges, "range").sortWithinPartitions(F.desc("lang"), F.desc("suffix")).select("lang", "suffix", "n")
-    counts = rows.mapInArrow(_prefixes(least), "lang string, phrase binary, words int, f bigint, partial boolean").withColumn("phrase", F.col("phrase").cast("string"))
+    rows = text.mapInArrow(_added_up(_bounds(text, ranges, most), most), "range int, suffix binary, n bigint")
+    rows = rows.repartitionById(ranges, "range").sortWithinPartitions(F.desc("suffix")).select("suffix", "n")
+    counts = rows.mapInArrow(_prefixes(most, least), "lang binary, phrase binary, words int, f bigint, partial boolean")
+    counts = counts.withColumn("lang", F.col("lang").cast("string")).withColumn("phrase", F.col("phrase").cast("string"))
     counts = written(counts, "phrases")
     ends = counts.where("partial").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
     return counts.where("not partial").drop("partial").unionByName(ends)

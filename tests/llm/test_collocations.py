@@ -74,12 +74,15 @@ def test_against_counting(spark, name):
 def test_small_ranges_and_buffers(spark, monkeypatch):
     """Ranges that end inside the runs of prefixes, and tasks that send on at each chance, change nothing."""
     monkeypatch.setattr(co, "KEEP_SUFFIXES", 1)
+    monkeypatch.setattr(co, "STEP_ROWS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     spark.conf.set("spark.sql.shuffle.partitions", "23")
     try:
         for name in ("random", "a frequent first word", "odd bytes"):
             assert found(spark, CASES[name]) == plain(CASES[name], 2, 80, 2000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty(spark):
