@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ class Encoder:
     """Encodes texts as the tokenizers library would with a byte-level vocabulary; ids come as little-endian 32-bit bytes. Strings of special
     tokens are ordinary text.
 
-    A byte-level tokenizer always begins a new match at a single space between other characters. Texts are cut there. The first part of a
-    text, and each further part with its space, are looked up whole; new ones are encoded many at a time and told apart by their bytes.
+    A byte-level tokenizer always begins a new match at a single space between other characters. Texts are cut there, many at once, and each
+    distinct part is looked up: the first of a text, and further ones with their space. New ones are encoded together and told apart by their bytes.
     """
 
     def __init__(self, path: str):
@@ -52,52 +53,76 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         #: Bytes of each token: a byte-level token has a character for each.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
-        self._forget()
-
-    def _forget(self) -> None:
-        self.first: dict[str, bytes] = {}
-        self.further: dict[str, bytes] = {}
+        #: Ids of parts that had a space before them: of late, and of the time before.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.size = 0
 
-    def _keep(self, known: dict[str, bytes], part: str, ids: bytes) -> None:
-        known[part] = ids
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        self.known[part] = ids
         self.size += 2 * len(part) + len(ids) + 150
 
-    def _learn(self, first: set[str], further: set[str]) -> None:
-        if self.size > KEEP_BYTES:
-            self._forget()
-        apart = [(self.first, x, x) for x in first - self.first.keys()]
-        joined = []
-        for x in further - self.further.keys():
-            if x.strip() == x:
-                joined.append(x)
-            else:  # the end of a text, with white space behind it
-                apart.append((self.further, x, " " + x))
-        for (known, part, _), e in zip(apart, self.tokenizer.encode_batch_fast([x[2] for x in apart], add_special_tokens=False), strict=True):
-            self._keep(known, part, np.array(e.ids, "<u4").tobytes())
-        for i in range(0, len(joined), 20_000):
-            some = joined[i : i + 20_000]
+    def _further(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that have a space before them and no white space at their ends."""
+        if self.size > KEEP_BYTES // 2:
+            self.before, self.known, self.size = self.known, {}, 0
+        new = []
+        for x in parts:
+            if x not in self.known:
+                ids = self.before.get(x)
+                if ids is None:
+                    new.append(x)
+                else:
+                    self._keep(x, ids)
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends, wanted = np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) + 1 for x in some])
             at = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[at], wanted):
                 raise ValueError("a token reaches over a space")
-            raw = ids.tobytes()
-            for part, a, b in zip(some, [0, *(4 * at + 4).tolist()], (4 * at + 4).tolist()):
-                self._keep(self.further, part, raw[a:b])
+            raw, at = ids.tobytes(), (4 * at + 4).tolist()
+            for part, a, b in zip(some, [0, *at], at):
+                self._keep(part, raw[a:b])
+        return list(map(self.known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, first, further = [], set(), set()
-        for text in texts:
-            parts = text.split(" ")
-            if "" in parts or list(map(str.strip, parts)) != parts:  # white space beside a space
-                parts = _GAP.split(text)
-            split.append(parts)
-            first.add(parts[0])
-            further.update(parts[1:])
-        self._learn(first, further)
-        get = self.further.__getitem__
-        return [self.first[parts[0]] + b"".join(map(get, parts[1:])) for parts in split]
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        bare = np.array([x != "" and x.strip() == x for x in parts])
+        apart = np.flatnonzero(np.logical_or.reduceat(~bare[codes], ends[:-1]))  # texts with white space beside a space
+        first = {}
+        codes[ends[:-1]] = [len(parts) + first.setdefault(parts[c], len(first)) for c in codes[ends[:-1]].tolist()]
+        usual = np.flatnonzero(bare)
+        found: list[bytes] = [b""] * len(parts)
+        for i, ids in zip(usual.tolist(), self._further([parts[i] for i in usual.tolist()]), strict=True):
+            found[i] = ids
+        found += self._whole(list(first))
+        size = np.array([len(x) // 4 for x in found])
+        begin, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        each = size[codes]
+        stop = np.cumsum(each)
+        ids = pool[np.repeat(begin[codes] - stop + each, each) + np.arange(stop[-1])].tobytes()
+        edges = (4 * np.concatenate([[0], stop])[ends]).tolist()
+        out = [ids[a:b] for a, b in zip(edges, edges[1:])]
+        for i in apart.tolist():
+            out[i] = self._cut(texts[i])
+        return out
+
+    def _cut(self, text: str) -> bytes:
+        """A text with white space beside a space, cut at other spaces only."""
+        first, *parts = _GAP.split(text)
+        if not parts:
+            return self._whole([first])[0]
+        *parts, last = parts  # white space may stand at the end of the last
+        return b"".join([self._whole([first])[0], *self._further(parts), *self._whole([" " + last])])
 
 
 @lru_cache(2)
@@ -165,7 +190,7 @@ def _encoded(e: Encoder, texts: list[str]) -> Iterator[bytes]:
             continue
         group.append(text)
         size += len(text)
-        if size > SLICE:
+        if size > 4 * SLICE:
             yield from e.encode(group)
             group, size = [], 0
     yield from e.encode(group)
