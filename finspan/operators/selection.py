@@ -1,8 +1,7 @@
-"""Universe construction: deduplication, scores, quotas, similarity and leader groups."""
+"""Universe construction: deduplication, scores, quotas and similarity."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,28 +62,6 @@ def near_pairs(df: DataFrame, key: str, group: str, metrics: list[str], radius:
     return a.join(b, "block").where((F.col("a") < F.col("b")) & (F.sqrt(far) <= radius)).select("block", "a", "b")
 
 
-def leader_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, leader): in ascending order of key, a node no earlier leader has an edge to leads; others join their first leader.
-
-    nodes: (block, key); edges: (block, a, b) with a < b. The scan is sequential by definition, so each block goes to one task.
-    """
-
-    def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(right["a"], right["b"], strict=True):
-            near.setdefault(a, []).append(b)
-        leader: dict = {}
-        for k in sorted(left["key"]):
-            if k not in leader:
-                leader[k] = k
-                for b in near.get(k, ()):
-                    leader.setdefault(b, k)
-        return pd.DataFrame({"key": list(leader), "leader": list(leader.values())})
-
-    t = nodes.schema["key"].dataType.simpleString()
-    return nodes.groupBy("block").cogroup(edges.groupBy("block")).applyInPandas(run, f"key {t}, leader {t}")
-
-
 def ordinal_split(df: DataFrame, stratum: str, key: str, seed: int, shares: tuple[float, float]) -> DataFrame:
     """Adds split (train, val, test) by the order of a seeded hash within each stratum, with rounded-down counts for train and val."""
     w = Window.partitionBy(stratum)

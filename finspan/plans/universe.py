@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from finspan.functions import labels as L
 from finspan.functions import text as T
+from finspan.operators import clustering as C
 from finspan.operators import selection as S
 from finspan.plans.corpus import SCORES, SOURCES, scored, sources
 from finspan.plans.market import rets
 from finspan.plans.sqlbase import CROSS, history, registry
 from finspan.sources import panels as P
 from finspan.sources.panels import rounded, table
+from finspan.sources.sinks import written
 
 QUERIES, ORACLES, query = registry()
 
@@ -195,15 +197,41 @@ def standardised(spark, sf):
     return rounded(a.join(s, "tier1").select("ticker", F.when(F.col("s") > 0, (F.col("vol") - F.col("m")) / F.col("s")).alias("z")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ASSET}, z AS (SELECT ticker AS key, tier1 AS block, (mean_ret - avg(mean_ret) OVER w) / nullif(stddev_pop(mean_ret) OVER w, 0) AS x, (vol - avg(vol) OVER w) / nullif(stddev_pop(vol) OVER w, 0) AS y
+FROM a WINDOW w AS (PARTITION BY tier1)),
+p AS (SELECT b.key, list(a.key) AS before FROM z a JOIN z b ON a.block = b.block AND a.key < b.key AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1.0 GROUP BY 1),
+n AS (SELECT z.block, z.key, coalesce(p.before, []) AS before, row_number() OVER (PARTITION BY z.block ORDER BY z.key) AS k FROM z LEFT JOIN p ON p.key = z.key),
+r AS (SELECT block, k, [key] AS leaders FROM n WHERE k = 1
+UNION ALL SELECT n.block, n.k, CASE WHEN list_has_any(n.before, r.leaders) THEN r.leaders ELSE list_append(r.leaders, n.key) END FROM r JOIN n ON n.block = r.block AND n.k = r.k + 1),
+l AS (SELECT block, arg_max(leaders, k) AS leaders FROM r GROUP BY 1)
+SELECT n.key, CASE WHEN list_contains(leaders, n.key) THEN n.key ELSE list_min(list_intersect(n.before, leaders)) END AS leader FROM n JOIN l ON n.block = l.block"""
+)
 def leader_clusters(spark, sf):
     """Assets of a category led by the first one within 1.0 of them in standardised return and volatility."""
     a = asset_metrics(spark, sf)
     w = Window.partitionBy("tier1")
     z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w)).alias(c)
-    a = a.select("ticker", "tier1", z("mean_ret"), z("vol"))
+    a = written(a.select("ticker", "tier1", z("mean_ret"), z("vol")), "standardised")
     nodes = a.select(F.col("tier1").alias("block"), F.col("ticker").alias("key"))
-    return S.leader_groups(nodes, S.near_pairs(a, "ticker", "tier1", ["mean_ret", "vol"], 1.0))
+    return C.leader_groups(nodes, S.near_pairs(a, "ticker", "tier1", ["mean_ret", "vol"], 1.0))
+
+
+def return_vectors(spark, sf):
+    """(ticker, tier1, vector): mean monthly return of each quarter, 0 where a ticker has none."""
+    r = rets(spark, sf, "month", P.CROSS).withColumn("q", F.date_trunc("quarter", "date"))
+    r = written(r.groupBy("ticker", "q").agg(F.round(F.avg("ret"), 6).alias("x")), "quarters")
+    grid = r.select("ticker").distinct().join(F.broadcast(r.agg(F.array_sort(F.collect_set("q")).alias("qs")))).select("ticker", F.explode("qs").alias("q"))  # one row of quarters
+    v = grid.join(r, ["ticker", "q"], "left").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("q", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("v"))
+    return v.select("ticker", F.split_part("ticker", F.lit("/"), F.lit(2)).alias("tier1"), F.transform("v", lambda s: s["x"]).alias("vector"))
+
+
+@query()
+def linkage_representatives(spark, sf):
+    """Average-linkage clusters of each category's assets by correlation of returns: the asset nearest to each cluster's mean, with distinct names."""
+    v = written(return_vectors(spark, sf), "vectors")
+    c = C.average_linkage(v, "tier1", "ticker", "vector").join(v.select("ticker", "vector"), "ticker")
+    return C.representatives(c, "tier1", "ticker", "vector", F.concat_ws(" ", F.element_at(F.split("ticker", "/"), 1), "tier1"))
 
 
 # ranking and sampling

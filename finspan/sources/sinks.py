@@ -14,6 +14,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, written to a new shared folder and read back: what follows starts from there, also after an executor is lost."""
+    path = shared_folder(df.sparkSession, what)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """Rows of old and new; of equal keys those of new, of several the first by order (else by the other columns, descending)."""
     both = old.withColumn("__g", F.lit(0)).unionByName(new.withColumn("__g", F.lit(1)), allowMissingColumns=True)

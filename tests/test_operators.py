@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from finspan.functions import labels as L
 from finspan.functions import text as T
+from finspan.operators import clustering as C
 from finspan.operators import portfolio as O
 from finspan.operators import returns as R
 from finspan.operators import selection as S
@@ -133,7 +134,7 @@ def test_quota_fill_and_ties(spark):
 def test_leaders_take_later_neighbours_only_once(spark):
     nodes = spark.createDataFrame([(0, k) for k in (1, 2, 3, 4, 5)], "block long, key long")
     edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4)], "block long, a long, b long")
-    assert {r.key: r.leader for r in S.leader_groups(nodes, edges).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert {r.key: r.leader for r in C.leader_groups(nodes, edges).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
 def test_text_functions(spark):
@@ -194,7 +195,7 @@ def test_near_pairs_lead_groups(spark):
     pairs = S.near_pairs(df, "t", "g", ["x", "y"], 1.0)
     assert {(r.a, r.b) for r in pairs.collect()} == {("a", "b"), ("b", "c")}
     nodes = df.select(F.col("g").alias("block"), F.col("t").alias("key"))
-    assert {r.key: r.leader for r in S.leader_groups(nodes, pairs).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    assert {r.key: r.leader for r in C.leader_groups(nodes, pairs).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
 
 
 def test_seats_and_samples(spark):
