@@ -65,14 +65,14 @@ def suffixes(lang: str, text: bytes, most: int = MAX_WORDS) -> Iterator[bytes]:
 
 
 def _added_up(bounds: list[bytes], most: int):
-    """Suffixes with their numbers and the range that they fall into."""
+    """Suffixes with their numbers and the range that they fall into. They go as strings, which Spark compares in place, unlike binaries."""
 
     def sent(counts: Counter) -> Iterator[pa.RecordBatch]:
         keys, numbers = list(counts), list(counts.values())
         for i in range(0, len(keys), 50_000):
             some = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bisect_left(bounds, x) for x in some], pa.int32()), pa.array(some, pa.binary()), pa.array(numbers[i : i + 50_000], pa.int64())], names=["range", "suffix", "n"]
+                [pa.array([bisect_left(bounds, x) for x in some], pa.int32()), pa.array(some, pa.binary()).view(pa.string()), pa.array(numbers[i : i + 50_000], pa.int64())], names=["range", "suffix", "n"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _prefixes(most: int, least: int):
 
 
 def _go_on(stack: _Stack, held: list[pa.RecordBatch]) -> list[tuple]:
-    return stack.add(pa.concat_arrays([b.column(0) for b in held]), np.concatenate([b.column(1).to_numpy() for b in held]))
+    return stack.add(pa.concat_arrays([b.column(0).view(pa.binary()) for b in held]), np.concatenate([b.column(1).to_numpy() for b in held]))
 
 
 def phrase_counts(docs: DataFrame, most: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
@@ -186,10 +186,10 @@ def phrase_counts(docs: DataFrame, most: int = MAX_WORDS, least: int = LEAST) ->
     docs: lang (null: und), text (null: empty). Pieces end at . , ; : ! ? and line ends, words at spaces and tabs; A-Z are lower-cased.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, rows=20_000)  # suffixes are short
     text = _text(docs)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = text.mapInArrow(_added_up(_bounds(text, ranges, most), most), "range int, suffix binary, n bigint")
+    rows = text.mapInArrow(_added_up(_bounds(text, ranges, most), most), "range int, suffix string, n bigint")
     rows = rows.repartitionById(ranges, "range").sortWithinPartitions(F.desc("suffix")).select("suffix", "n")
     counts = rows.mapInArrow(_prefixes(most, least), "lang binary, phrase binary, words int, f bigint, partial boolean")
     counts = counts.withColumn("lang", F.col("lang").cast("string")).withColumn("phrase", F.col("phrase").cast("string"))

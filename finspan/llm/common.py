@@ -42,9 +42,9 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let the session cut Arrow batches to BATCH_BYTES and BATCH_ROWS, unless it has them smaller already."""
-    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session cut Arrow batches to BATCH_BYTES and so many rows, unless it has them smaller already."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", rows)):
         key = f"spark.sql.execution.arrow.{name}"
         number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
         if not 0 < int(number) * _UNITS[unit] <= most:
