@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from finspan.plans.sqlbase import CROSS, panel, registry
+from finspan.sources import buckets
 from finspan.sources import registry as R
 from finspan.sources import sqlite
 from finspan.sources.panels import prices, table, universe
@@ -65,3 +66,16 @@ def registered_holdings(spark, sf):
     active = R.portfolios(c).select("portfolio_id", "portfolio_name")
     out = R.summary(last.join(active, "portfolio_id"), ["portfolio_id", "portfolio_name", "date"], F.col("market_value"))
     return out.withColumn("long_value", F.col("long_value").cast("double")).withColumn("short_value", F.col("short_value").cast("double"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders), m AS (SELECT max(o_orderdate) AS last FROM l WHERE k = 1)
+SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderstatus FROM l, m WHERE k = 1 AND CAST(o_orderdate AS DATE) > CAST(last AS DATE) - 365""")
+def merged_by_bucket(spark, sf):
+    """Each customer's last order, merged year by year in no order of time into a table of buckets; customers without one for a year are deleted."""
+    path = shared_folder(spark, "merged")
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderstatus")
+    years = sorted(r[0] for r in rows.select(F.year("o_orderdate")).distinct().collect() if r[0] is not None)
+    for y in years[1::2] + years[::2]:
+        buckets.upsert(rows.where(F.year("o_orderdate") == y), path, ["o_custkey"], ["o_orderdate", "o_orderkey"], latest=True)
+    buckets.retain(spark, path, "o_orderdate", 365)
+    return buckets.read(spark, path)

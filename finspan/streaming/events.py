@@ -7,15 +7,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from finspan.sources.sinks import upsert
+from finspan.sources import buckets, sinks
 
 
 def read(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    """The files of a folder as a stream."""
+    """A file of a folder, or the files of a folder of that name inside it, as a stream."""
     schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    fs, make = sinks._files(spark, folder)
+    files = spark.readStream.schema(schema)
+    inside = fs.getFileStatus(make(f"{folder}/{pattern}")).isDirectory()
+    files = files.parquet(f"{folder}/{pattern}") if inside else files.option("pathGlobFilter", pattern).parquet(folder)
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def flash(events: DataFrame, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -47,7 +52,69 @@ def runs(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
+class OrderedRuns(StatefulProcessor):
+    """Events wait until the watermark has passed them; then they count in the order of their times, whatever batch brought them.
+
+    State of a user: the events that wait, the last value and run of those that counted, and the time of the one timer that is set.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms bigint, us bigint, event_id bigint, value double")
+        self.run = handle.getValueState("run", "last_value double, run int")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _set(self, ms: int) -> None:
+        """Let the timer go off once the watermark is past ms, unless it goes off earlier anyway."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or ms < before:
+            if before is not None:
+                self.handle.deleteTimer(before + 1)
+            self.handle.registerTimer(ms + 1)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(us) // 1000, int(us), int(i), float(v)) for part in rows for us, i, v in zip(part["us"], part["event_id"], part["value"], strict=True)]
+        self.waiting.appendList(new)
+        self._set(min(x[0] for x in new))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(x) for x in self.waiting.get())
+        due, rest = [x for x in rows if x[0] < now], [x for x in rows if x[0] >= now]
+        self.timer.clear()
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._set(rest[0][0])
+        last, run = self.run.get() if self.run.exists() else (None, 0)
+        for *_, v in due:
+            if last is not None:
+                sign = (v > last) - (v < last)
+                run = run + sign if sign and run * sign > 0 else sign
+            last = v
+        if due:
+            self.run.update((last, run))
+            yield pd.DataFrame({"user_id": [key[0]], "last_value": [last], "run": [run], "settled": [due[-1][1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_runs(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """(user_id, last_value, run, settled): like runs, of the events that the watermark has passed, in the order of their times and ids.
+
+    Events up to `late` behind the latest one may come in any batch; the result is the same. settled is the time of the last event counted, in
+    microseconds. Null users, times, ids and values are left out. The session's state store becomes RocksDB, which keeps state on disk.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = events.withWatermark("ts", late).where("user_id is not null and ts is not null and event_id is not null and value is not null")
+    e = e.select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "value")
+    return e.groupBy("user_id").transformWithStateInPandas(OrderedRuns(), "user_id bigint, last_value double, run int, settled bigint", "Update", "EventTime")
+
+
 def upsert_stream(events: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> None:
-    """Put each batch over the table at path by key, until what is there has been read."""
-    q = events.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: upsert(df, path, keys)).start()
-    q.awaitTermination()
+    """Merge each batch into the buckets of the table at path by key, until what is there has been read; a batch that is sent again changes nothing."""
+    q = events.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q.foreachBatch(lambda df, n: buckets.upsert(df, path, keys, batch=(checkpoint, n))).start().awaitTermination()
