@@ -31,8 +31,9 @@ from finspan.llm.common import written
 CAPACITY, END = 2048, 0
 #: Rows of a range at most; so few rows make one range, with which the rounds end.
 RANGE_ROWS, LAST_ROWS = 500_000, 20_000
+MARKS = ".,;:!?"
 #: Bytes of parts and ids that a Python worker keeps; on more, it starts anew. Characters that are encoded at one time.
-KEEP_BYTES, SLICE = 128 << 20, 1 << 20
+KEEP_BYTES, SLICE = 160 << 20, 1 << 20
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -41,8 +42,9 @@ class Encoder:
     """Encodes texts as the tokenizers library would with a byte-level vocabulary; ids come as little-endian 32-bit bytes. Strings of special
     tokens are ordinary text.
 
-    A byte-level tokenizer always begins a new match at a single space between other characters. Texts are cut there, many at once, and each
-    distinct part is looked up: the first of a text, and further ones with their space. New ones are encoded together and told apart by their bytes.
+    A byte-level tokenizer always begins a new match at a single space or line end between other characters. Texts are cut there, many at once,
+    and each distinct part is looked up: the first of a text, and further ones with their space or line end. New ones are encoded together and told
+    apart by their bytes; a mark behind a letter is a match of its own.
     """
 
     def __init__(self, path: str):
@@ -53,7 +55,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         #: Bytes of each token: a byte-level token has a character for each.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
-        #: Ids of parts that had a space before them: of late, and of the time before.
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
+        #: Ids of parts that had a space, or begin with a line end, of late, and of the time before.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.size = 0
@@ -66,38 +69,51 @@ class Encoder:
         self.size += 2 * len(part) + len(ids) + 150
 
     def _further(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that have a space before them and no white space at their ends."""
+        """Ids of parts with a space before them, or a line end as their first character, and no other white space at their ends."""
         if self.size > KEEP_BYTES // 2:
             self.before, self.known, self.size = self.known, {}, 0
-        new = []
+        known, before = self.known, self.before
+        new, marked = set(), []
         for x in parts:
-            if x not in self.known:
-                ids = self.before.get(x)
-                if ids is None:
-                    new.append(x)
-                else:
+            if x not in known:
+                ids = before.get(x)
+                if ids is not None:
                     self._keep(x, ids)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends, wanted = np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) + 1 for x in some])
+                    continue
+                core = x[:-1]
+                if x[-1] in MARKS and core[-1:].isalpha() and core[-1] < "\u0250":
+                    marked.append(x)
+                    if core in known:
+                        continue
+                    if core in before:
+                        self._keep(core, before[core])
+                        continue
+                    x = core
+                new.add(x)
+        joined = list(new)
+        for i in range(0, len(joined), 20_000):
+            some = [x if x[0] == "\n" else " " + x for x in joined[i : i + 20_000]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends, wanted = np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) for x in some])
             at = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[at], wanted):
                 raise ValueError("a token reaches over a space")
             raw, at = ids.tobytes(), (4 * at + 4).tolist()
-            for part, a, b in zip(some, [0, *at], at):
+            for part, a, b in zip(joined[i : i + 20_000], [0, *at], at):
                 self._keep(part, raw[a:b])
-        return list(map(self.known.__getitem__, parts))
+        for x in marked:
+            self._keep(x, known[x[:-1]] + self.marks[x[-1]])
+        return list(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         codes, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
-        bare = np.array([x != "" and x.strip() == x for x in parts])
-        apart = np.flatnonzero(np.logical_or.reduceat(~bare[codes], ends[:-1]))  # texts with white space beside a space
+        bare = np.array([(y := x.removeprefix("\n")) != "" and y.strip() == y for x in parts])
+        apart = np.flatnonzero(np.logical_or.reduceat(~bare[codes], ends[:-1]))  # texts with white space beside a space or line end
         first = {}
         codes[ends[:-1]] = [len(parts) + first.setdefault(parts[c], len(first)) for c in codes[ends[:-1]].tolist()]
         usual = np.flatnonzero(bare)

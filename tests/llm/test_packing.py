@@ -23,6 +23,7 @@ def library():
 
 TEXTS = [
     "", " ", "  ", "a", " a", "a ", "a  b", "Hello, world! It's 10 o'clock.", "x\ny\n\nz ", "tab\t tab \t", " a  b　 c", "日本語 テキスト です", "naïve café Ω", "\x1c a \x1d b", "a ᠎b",
+    "One. Two, three; one. Two,\nthree\nFour.\nFour, five", "a\n\nb", "a\n\n\nb \n c", "\nstart", "end.\n", "x.\r\ny", "it's. O'Neil, é. ü, ж. 9, a9. a.. a!?", "end\n.", ". , ;",
     "🙂 🙃🙂 x", "<|endoftext|> and <|endoftext|>", "a" * 3000, "word " * 500, "\0 \1", "don't   stop", " lead and trail ",
 ]
 
