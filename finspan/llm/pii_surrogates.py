@@ -12,6 +12,7 @@ text. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +27,7 @@ _START, _STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Patterns by type, tried in this order at each place.
 PATTERNS = {
     "secret": r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,}",
-    "email": r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}",
     "access": r"AKIA[0-9A-Z]{16}",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -42,10 +43,12 @@ TRIGGER = rf"[0-9@=:]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
 FIRST = {
     ("m", "latin"): "Adam Albin Anton Boris Carl Cedric Conrad Dario Denis Edgar Emil Felix Gustav Hugo Ivan Jonas Julian Karl Leon Lukas Marco Marius Nils Oscar Otto Pablo Ralf Rene Simon Theo Victor Xavier".split(),
     ("f", "latin"): "Ada Agnes Alma Anita Berta Carla Celia Dora Edith Elsa Emma Flora Greta Helga Ida Ines Irene Julia Klara Laura Lena Lucia Marta Mona Nadia Nora Olga Paula Rosa Sonia Vera Yvonne".split(),
+    ("m", "greek"): "Άρης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λάμπρος Μάριος Νίκος Πέτρος Σπύρος Τάσος".split(),
+    ("f", "greek"): "Άννα Βάσω Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Όλγα Σοφία Χαρά".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Леонид Максим Никита Олег Павел Роман Тимур".split(),
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Раиса Софья Юлия".split(),
 }
-SYLLABLES = {"latin": "ba ce do fa gu hel ki lan mer no pe ras sol ti vor wen".split(), "cyrillic": "ба ве го да ко ла ми но пе ра со ту фи хо ци ша".split()}
+SYLLABLES = {"latin": "ba ce do fa gu hel ki lan mer no pe ras sol ti vor wen".split(), "greek": "βα γο δι κα λε μι νο πα ρε σα το φι χα ψο θε ζη".split(), "cyrillic": "ба ве го да ко ла ми но пе ра со ту фи хо ци ша".split()}
 #: Bytes of replacements that are broadcast at most, with ENTRY more for each row and replacement; with more, texts are shuffled.
 BROADCAST_BYTES, ENTRY = 128 << 20, 32
 
@@ -87,9 +90,10 @@ def _card(norm: Column, stream: Column) -> Column:
 
 
 def _phone(norm: Column, stream: Column) -> Column:
+    """Ten digits anew behind the country's code."""
     first = lambda i: F.char(F.lit(50) + _byte(stream, F.lit(i)) % 8)  # noqa: E731  2 to 9
-    rest = _mapped(norm, stream)
-    return F.concat(first(100), F.substr(rest, F.lit(2), F.lit(2)), first(101), F.substr(rest, F.lit(5), F.lit(6)))
+    code, rest = F.substr(norm, F.lit(1), F.length(norm) - 10), _mapped(F.right(norm, F.lit(10)), stream)
+    return F.concat(code, first(100), F.substr(rest, F.lit(2), F.lit(2)), first(101), F.substr(rest, F.lit(5), F.lit(6)))
 
 
 def _ip(norm: Column, stream: Column) -> Column:
@@ -102,8 +106,8 @@ def _choice(values: list[str], v: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), v % len(values) + 1)
 
 
-def _by_script(norm: Column, latin: Column, cyrillic: Column) -> Column:
-    return F.when(norm.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+def _by_script(norm: Column, of: Callable[[str], Column]) -> Column:
+    return F.when(norm.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
 def _first(gender: str, norm: Column, stream: Column, attempt: Column) -> Column:
@@ -114,14 +118,14 @@ def _first(gender: str, norm: Column, stream: Column, attempt: Column) -> Column
         more = F.concat_ws("-", *(F.when(attempt >= 3 * k, _choice(names, _byte(stream, F.lit(k)))) for k in range(4)))
         return more
 
-    return _by_script(norm, of("latin"), of("cyrillic"))
+    return _by_script(norm, of)
 
 
 def _last(norm: Column, stream: Column, attempt: Column) -> Column:
     def of(script: str) -> Column:
         return F.initcap(F.concat_ws("", *(F.when(attempt >= 2 * max(0, k - 2), _choice(SYLLABLES[script], _byte(stream, F.lit(k)))) for k in range(7))))
 
-    return _by_script(norm, of("latin"), of("cyrillic"))
+    return _by_script(norm, of)
 
 
 def _surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -181,7 +185,7 @@ def entities(rows: DataFrame) -> DataFrame:
     n1 = (
         F.when(kind == "email", F.lower(raw))
         .when(kind == "secret", F.regexp_extract(raw, r"[=:] ?\"?([A-Za-z0-9+/_-]+)$", 1))
-        .when(kind == "phone", F.right(digits, F.lit(10)))
+        .when(kind == "phone", F.regexp_replace(digits, "^1(?=[0-9]{10}$)", ""))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "name", F.substring_index(name, " ", -1))
         .otherwise(raw)
@@ -210,18 +214,22 @@ def _swapped(left: DataFrame, key: str) -> DataFrame:
 def surrogates(things: DataFrame, key: str, most: int = 60) -> DataFrame:
     """(kind, norm, surrogate) of the distinct (kind, norm) in things; of one kind, all surrogates differ, and none is its own norm.
 
+    What has no ASCII letter or digit to replace, as a blank password of underscores, stays as it is: its shape says nothing, and no surrogate has it.
     None is a norm at all, but of those that found none in so many draws (as the corpus nearly fills their space, such as a private network).
     """
     parts = int(things.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo = written(things.select("kind", "norm").distinct().repartition(parts, "kind", "norm"), "things")
     taken = todo.select("kind", F.col("norm").alias("surrogate"))
-    done = None
+    kind, norm = F.col("kind"), F.col("norm")
+    part = F.when(kind == "email", F.substring_index(norm, "@", 1)).when(kind == "domain", F.regexp_replace(norm, r"\.[a-z]+$", "")).when(kind == "secret", norm)
+    blank = F.coalesce(~part.rlike("[A-Za-z0-9]"), F.lit(False))
+    done, todo = todo.where(blank).select("kind", "norm", F.col("norm").alias("surrogate")), todo.where(~blank)
     for attempt in range(most):
         drawn = todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key))
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("norm"))
         drawn = written(drawn.withColumn("first", first).join(taken.withColumn("no", F.lit(True)), ["kind", "surrogate"], "left").withColumn("good", (F.col("first") == 1) & F.col("no").isNull()).select("kind", "norm", "surrogate", "good"), "drawn")
         good = drawn.where("good").drop("good")
-        done = good if done is None else done.union(good)
+        done = done.union(good)
         todo = drawn.where("not good").select("kind", "norm")
         if todo.isEmpty():
             return written(done, "surrogates")

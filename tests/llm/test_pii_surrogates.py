@@ -80,3 +80,33 @@ def test_whole_table(spark):
             assert r.text == docs[r.doc_id]
         assert not [x for x in any_re.findall(r.text) if x in everything]
     assert n > 20
+
+
+def test_nothing_to_change_and_very_long_hosts(spark):
+    """Blank forms, hosts without letters and hosts of thousands of labels neither end the job nor draw for ever."""
+    rows = [
+        (1, "Password: ________ (fill in)"),
+        (2, "mail __@example.com now"),
+        (3, "a@-.com"),
+        (4, "x@" + "a." * 20_000 + "com"),
+        (5, "x@" + "ab." * 20_000 + "com and y@" + "b" * 50_000 + ".com"),
+        (6, "a@b.cd. Next"),
+    ]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    assert got[1] == rows[0][1]
+    assert re.fullmatch(r"mail __@[a-z]{7}\.com now", got[2]) and "example" not in got[2]
+    assert re.fullmatch(r"[b-z]@-\.com", got[3])
+    assert got[4] == rows[3][1]  # not a host: no label of two letters among the first 127
+    assert len(got[5]) == len(rows[4][1]) and not got[5].startswith("x@ab.") and "bbbbb" not in got[5]
+    assert re.fullmatch(r"[b-z]@[ac-z]\.cd\. Next", got[6])
+
+
+def test_countries_and_scripts(spark):
+    rows = [(1, "+1 212-555-0100, 212-555-0100 and 1-212-555-0100"), (2, "+44 212-555-0100, +49 212-555-0100"), (3, "Mr. Βασίλης Παπάς, Mrs. Άννα Παπάς, Mr. Иван Петров")]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    a, b = re.fullmatch(r"\+1 ([2-9]\d\d-[2-9]\d\d-\d{4}), ([2-9]\d\d-[2-9]\d\d-\d{4}) and .*", got[1]).groups()
+    c, d = re.fullmatch(r"\+44 ([2-9]\d\d-[2-9]\d\d-\d{4}), \+49 ([2-9]\d\d-[2-9]\d\d-\d{4})", got[2]).groups()
+    assert a == b != "212-555-0100" and len({a, c, d}) == 3
+    m = re.fullmatch(r"Mr\. (\S+) (\S+), Mrs\. (\S+) (\S+), Mr\. (\S+) (\S+)", got[3])
+    greek = re.compile(r"[Ͱ-Ͽ-]+")
+    assert all(greek.fullmatch(m[i]) for i in (1, 2, 3, 4)) and m[2] == m[4] != "Παπάς" and re.fullmatch(r"[Ѐ-ӿ-]+", m[6])
