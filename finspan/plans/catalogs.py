@@ -6,10 +6,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from finspan.functions import validation as V
 from finspan.plans.sqlbase import CROSS, panel, registry
-from finspan.sources import buckets
+from finspan.sources import buckets, ledger, sqlite, views
 from finspan.sources import registry as R
-from finspan.sources import sqlite
 from finspan.sources.panels import prices, table, universe
 from finspan.sources.sinks import shared_folder
 
@@ -79,3 +79,59 @@ def merged_by_bucket(spark, sf):
         buckets.upsert(rows.where(F.year("o_orderdate") == y), path, ["o_custkey"], ["o_orderdate", "o_orderkey"], latest=True)
     buckets.retain(spark, path, "o_orderdate", 365)
     return buckets.read(spark, path)
+
+
+@query("SELECT p_partkey AS key, p_name AS name, CASE WHEN p_size > 25 THEN p_brand END AS brand, CASE WHEN p_size > 25 THEN 'v2' ELSE 'v1' END AS source, p_size > 25 AND p_brand LIKE 'Brand#1%' AS first_brands FROM part")
+def evolved_table(spark, sf):
+    """A table whose later rows have a column more, read as one with its older files through a view that is kept beside it."""
+    catalog = shared_folder(spark, "evolved")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), "p_size", F.col("p_brand").alias("brand"))
+    buckets.upsert(p.select("key", "name", F.lit("v1").alias("source")), f"{catalog}/tags", ["key"])
+    buckets.upsert(p.where("p_size > 25").select("key", "name", F.lit("v2").alias("source"), "brand"), f"{catalog}/tags", ["key"], evolve=True)
+    views.save_view(spark, catalog, "tagged", "SELECT *, coalesce(brand LIKE 'Brand#1%', false) AS first_brands FROM tags")
+    views.open_catalog(spark, catalog)
+    return spark.table("tagged").select("key", "name", "brand", "source", "first_brands")
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_size <= 45 THEN upper(p_name) END AS name, CASE WHEN p_size > 45 THEN 'no name for ' || p_partkey END AS error FROM part")
+def resumed_lookups(spark, sf):
+    """Names looked up part by part by a run that breaks off and one that goes on; lookups that fail are kept as failures."""
+    path = shared_folder(spark, "ledger")
+    p = table(spark, sf, "part")
+
+    def look_up(rows):
+        known = F.col("p_size") <= 45
+        return rows.select(F.col("key"), F.when(known, F.upper("p_name")).alias("name"), F.when(~known, F.concat(F.lit("no name for "), "key")).alias("error"))
+
+    rows = p.select(F.col("p_partkey").alias("key"), "p_name", "p_size")
+    ledger.resume(rows, "key", look_up, path, buckets=4, most=2)
+    ledger.resume(rows, "key", look_up, path)
+    return buckets.read(spark, path)
+
+
+SHAPE = {
+    "executive_synthesis": {"single_most_important": V.ANY, "key_takeaways": V.LIST, "what_to_watch": V.LIST},
+    "flash_headlines": V.ANY,
+    "sections": ["Section", {"title": V.ANY, "narrative": V.ANY, "tables?": ["Table", {"headers": V.ANY, "rows": V.ANY}]}],
+}
+
+
+@query("""WITH c AS (SELECT *, c_mktsegment AS s FROM customer), e AS (
+SELECT unnest(CASE WHEN s = 'BUILDING' THEN ['not JSON'] ELSE list_filter([
+CASE WHEN c_acctbal < 0 THEN 'executive_synthesis missing ''single_most_important''' END, CASE WHEN c_nationkey = 3 THEN 'executive_synthesis key_takeaways must be a list' END,
+CASE WHEN s = 'HOUSEHOLD' THEN 'report missing ''flash_headlines''' END, CASE WHEN s = 'MACHINERY' THEN 'sections must be a list' END,
+CASE WHEN s <> 'MACHINERY' AND c_acctbal > 5000 THEN 'Section 0 missing ''title''' END, CASE WHEN s <> 'MACHINERY' AND c_nationkey < 5 THEN 'Section 1, Table 0 missing ''rows''' END], lambda x: x IS NOT NULL) END) AS error FROM c)
+SELECT error, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT 'valid', count(*) FROM c WHERE s IN ('AUTOMOBILE', 'FURNITURE') AND c_acctbal BETWEEN 0 AND 5000 AND c_nationkey >= 5""")
+def validated_reports(spark, sf):
+    """Reports as JSON, some broken off or with parts missing or of another kind, and how often each error occurs."""
+    segment, balance, nation = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_nationkey")
+    synthesis = F.struct(F.when(balance >= 0, F.lit("x")).alias("single_most_important"), F.lit("@").alias("key_takeaways"), F.array(F.lit("w")).alias("what_to_watch"))
+    one = F.struct(F.when(balance <= 5000, F.col("c_name")).alias("title"), F.lit("n").alias("narrative"), F.lit(None).cast("array<struct<headers:array<string>,rows:array<string>>>").alias("tables"))
+    rows = F.struct(F.array(F.lit("h")).alias("headers"), F.when(nation >= 5, F.array(F.lit("r"))).alias("rows"))
+    two = F.struct(F.lit("t").alias("title"), F.lit("n").alias("narrative"), F.array(rows).alias("tables"))
+    text = F.to_json(F.struct(synthesis.alias("executive_synthesis"), F.when(segment != "HOUSEHOLD", F.array(F.lit("f"))).alias("flash_headlines"), F.array(one, two).alias("sections")))
+    text = F.when(nation == 3, text).otherwise(F.replace(text, F.lit('"@"'), F.lit('["k"]')))
+    text = F.when(segment == "BUILDING", F.left(text, F.length(text) - 5)).when(segment == "MACHINERY", F.regexp_replace(text, r'"sections":.*\}$', '"sections":"none"}')).otherwise(text)
+    checked = V.validated(table(spark, sf, "customer").select(text.alias("json")), "json", SHAPE)
+    found = checked.select(F.explode(F.when(F.col("valid"), F.array(F.lit("valid"))).otherwise(F.col("errors"))).alias("error"))
+    return found.groupBy("error").agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from finspan.sources.sinks import _files, written
 
@@ -111,12 +111,13 @@ def _replace(spark: SparkSession, path: str, v: Version, rows: DataFrame, touche
     return new
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None, latest: bool = False, buckets: int = BUCKETS, batch: tuple[str, int] | None = None) -> list[int]:
+def upsert(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None, latest: bool = False, buckets: int = BUCKETS, batch: tuple[str, int] | None = None, evolve: bool = False) -> list[int]:
     """Put the rows of new over those of the table at path by key; the buckets that were rewritten.
 
     Of rows of new with one key, that with the greatest order (by default all other columns, in turn) counts. It replaces the table's row, or
     with latest only if it isn't less in order. Null keys are equal to each other. buckets: of a table that isn't there yet. batch: a stream
-    and the number of its batch; batches that the table already has are left out.
+    and the number of its batch; batches that the table already has are left out. evolve: columns that the table doesn't have are added to it, null in older rows;
+    otherwise they are left out. Columns that new doesn't have are null in its rows; columns of another type raise.
     """
     spark, path = new.sparkSession, path.rstrip("/")
     v = version(spark, path)
@@ -126,7 +127,10 @@ def upsert(new: DataFrame, path: str, keys: list[str], order: list[str] | None =
         v.keys, v.buckets, v.schema = list(keys), buckets, json.dumps(new.schema.jsonValue())
     if v.keys != list(keys):
         raise ValueError(f"the table's keys are {v.keys}")
-    columns = StructType.fromJson(json.loads(v.schema)).names
+    v.schema = json.dumps(merged(v, new.schema, evolve).jsonValue())
+    schema = StructType.fromJson(json.loads(v.schema))
+    columns = schema.names
+    new = new.select(*(F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     others = [c for c in columns if c not in keys]
     order = order or others
     new = written(_greatest(new.select(*columns).withColumn(_B, _bucket(keys, v.buckets)), keys, others, order), "upsert")
@@ -141,6 +145,30 @@ def upsert(new: DataFrame, path: str, keys: list[str], order: list[str] | None =
     return touched
 
 
+def merged(v: Version, new: StructType, evolve: bool) -> StructType:
+    """The table's schema with the new columns behind its own if they are wanted; all but keys can be null."""
+    old = StructType.fromJson(json.loads(v.schema))
+    types = {f.name: f.dataType for f in old}
+    for f in new:
+        if f.name in types and f.dataType != types[f.name]:
+            raise ValueError(f"{f.name} is {types[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    more = [f for f in new if f.name not in types] if evolve else []
+    return StructType([StructField(f.name, f.dataType) for f in [*old, *more]])
+
+
+def add_columns(spark: SparkSession, path: str, ddl: str) -> StructType:
+    """Add columns that the table doesn't have yet, null in all rows; no file is rewritten."""
+    v = version(spark, path)
+    schema = merged(v, _parse(spark, ddl), True)
+    if json.dumps(schema.jsonValue()) != v.schema:
+        _commit(spark, path, Version(v.number + 1, v.keys, v.buckets, json.dumps(schema.jsonValue()), v.data, v.batches))
+    return schema
+
+
+def _parse(spark: SparkSession, ddl: str) -> StructType:
+    return spark.createDataFrame([], ddl).schema
+
+
 def delete(spark: SparkSession, path: str, condition: Column | str) -> list[int]:
     """Delete the rows for which condition is true; the buckets that were rewritten."""
     path = path.rstrip("/")
