@@ -34,6 +34,12 @@ CROSS = "p_brand || '/' || p_type"
 UNIVERSE = f"universe AS (SELECT DISTINCT {CROSS} AS ticker, p_type AS tier1, p_brand AS tier2 FROM part)"
 
 
+def as_of(sql: str, date: str) -> str:
+    """A query's SQL over what was known at the end of a day."""
+    facts = ", ".join(f"{t} AS (SELECT * FROM main.{t} WHERE {c} < DATE '{date}' + INTERVAL 1 DAY)" for t, c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate")))
+    return f"WITH {facts}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {facts} {sql}"
+
+
 def registry() -> tuple[dict, dict[str, str], Callable]:
     """A module's queries, their SQL twins, and the decorator that enters both by the function's name."""
     queries: dict = {}

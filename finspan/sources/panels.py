@@ -6,8 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: When a row of a table of facts came to be.
+KNOWN = {"lineitem": "l_shipdate", "orders": "o_orderdate", "events": "ts"}
+
+
+class AsOf(str):
+    """A folder of tables as they were at the end of a day: every plan that is given it in the folder's place sees no later facts.
+
+    Calendars, years, last sessions and positions follow from what is seen. Rows without a date aren't seen.
+    """
+
+    date: str
+
+    def __new__(cls, sf_dir: str, date: str) -> AsOf:
+        out = super().__new__(cls, sf_dir)
+        out.date = str(date)
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; its date condition reaches the scan."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if isinstance(sf_dir, AsOf) and name in KNOWN:
+        df = df.where(F.col(KNOWN[name]) < F.date_add(F.lit(sf_dir.date).cast("date"), 1))
+    return df
 
 
 def prices(spark: SparkSession, sf_dir: str, grain: str = "week", key: str = "p_brand") -> DataFrame:
