@@ -30,10 +30,11 @@ from finspan.llm.common import written
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY, END = 2048, 0
 #: Rows of a range at most; so few rows make one range, with which the rounds end.
-RANGE_ROWS, LAST_ROWS = 500_000, 20_000
+RANGE_ROWS, LAST_ROWS = 500_000, 50_000
 MARKS = ".,;:!?"
-#: Bytes of parts and ids that a Python worker keeps; on more, it starts anew. Characters that are encoded at one time.
-KEEP_BYTES, SLICE = 160 << 20, 1 << 20
+#: Bytes of parts and ids that a Python worker keeps; on more, it forgets those that were rare of late. Characters of a slice of a long text, and
+#: of short texts that are encoded together.
+KEEP_BYTES, SLICE, TOGETHER = 160 << 20, 1 << 20, 8 << 20
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -111,7 +112,7 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        codes, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        codes, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         bare = np.array([(y := x.removeprefix("\n")) != "" and y.strip() == y for x in parts])
         apart = np.flatnonzero(np.logical_or.reduceat(~bare[codes], ends[:-1]))  # texts with white space beside a space or line end
         first = {}
@@ -125,7 +126,7 @@ class Encoder:
         begin, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
         each = size[codes]
         stop = np.cumsum(each)
-        ids = pool[np.repeat(begin[codes] - stop + each, each) + np.arange(stop[-1])].tobytes()
+        ids = pool[np.repeat((begin[codes] - stop + each).astype(np.int32), each) + np.arange(stop[-1], dtype=np.int32)].tobytes()
         edges = (4 * np.concatenate([[0], stop])[ends]).tolist()
         out = [ids[a:b] for a, b in zip(edges, edges[1:])]
         for i in apart.tolist():
@@ -174,42 +175,50 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())] if with_ids else arrays, names=[*names, "ids"] if with_ids else names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for batch in batches:
-            doc_type = batch.schema.field(0).type
-            rows, kept = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), _encoded(e, batch.column(1).to_pylist()), strict=True):
-                text += last
-                for k, (start, length) in enumerate(cuts(len(text) // 4, capacity)):
-                    ids = text[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, k, start, length, zlib.crc32(ids)))
-                    kept.append(ids)
-                if len(rows) > 10_000:
-                    yield batches_of(rows, kept, doc_type)
-                    rows, kept = [], []
-            if rows:
+        rows, kept, doc_type = [], [], pa.null()
+
+        def documents() -> Iterator[tuple]:
+            nonlocal doc_type
+            for batch in batches:
+                doc_type = batch.schema.field(0).type
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+        for doc_id, ids in _encoded(encoder(path), documents()):
+            ids += last
+            for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
+                part = ids[4 * start : 4 * (start + length)]
+                rows.append((doc_id, k, start, length, zlib.crc32(part)))
+                kept.append(part if with_ids else b"")
+            if len(rows) > 10_000:
                 yield batches_of(rows, kept, doc_type)
+                rows, kept = [], []
+        if rows:
+            yield batches_of(rows, kept, doc_type)
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def _encoded(e: Encoder, texts: list[str]) -> Iterator[bytes]:
-    """Ids of each text; short texts are encoded together, long ones in slices."""
-    group: list[str] = []
+def _encoded(e: Encoder, documents: Iterator[tuple]) -> Iterator[tuple]:
+    """(doc_id, ids) of each (doc_id, text); short texts are encoded together, long ones in slices."""
+    held: list[tuple] = []
     size = 0
-    for text in texts:
+
+    def done() -> Iterator[tuple]:
+        yield from zip([x for x, _ in held], e.encode([x for _, x in held]), strict=True)
+
+    for doc_id, text in documents:
         if len(text) > SLICE:
-            yield from e.encode(group)
-            group, size = [], 0
-            yield b"".join(x for part in slices(text) for x in e.encode([part]))
+            yield from done()
+            held, size = [], 0
+            yield doc_id, b"".join(x for part in slices(text) for x in e.encode([part]))
             continue
-        group.append(text)
+        held.append((doc_id, text))
         size += len(text)
-        if size > 4 * SLICE:
-            yield from e.encode(group)
-            group, size = [], 0
-    yield from e.encode(group)
+        if size > TOGETHER:
+            yield from done()
+            held, size = [], 0
+    yield from done()
 
 
 class _Gaps:

@@ -77,7 +77,7 @@ def lengths_of(name, n, capacity):
 
 
 @pytest.mark.parametrize("name", ["even", "short", "one length", "a hot length", "half", "thirds", "whole"])
-@pytest.mark.parametrize("last", [20_000, 40])
+@pytest.mark.parametrize("last", [50_000, 40])
 def test_rounds(spark, monkeypatch, name, last):
     monkeypatch.setattr(pk, "LAST_ROWS", last)
     draw, n = lengths_of(name, 700, 100)
