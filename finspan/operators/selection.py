@@ -66,7 +66,7 @@ def ordinal_split(df: DataFrame, stratum: str, key: str, seed: int, shares: tupl
     """Adds split (train, val, test) by the order of a seeded hash within each stratum, with rounded-down counts for train and val."""
     w = Window.partitionBy(stratum)
     n = F.count("*").over(w)
-    k = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    k = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), key))
     return df.withColumn("split", F.when(k <= F.floor(n * shares[0]), "train").when(k <= F.floor(n * shares[0]) + F.floor(n * shares[1]), "val").otherwise("test"))
 
 

@@ -157,7 +157,10 @@ def confusion_cube(spark, sf):
     return evaluated(spark, sf).cube("quality", "predicted").agg(F.grouping("quality").cast("bigint").alias("q_all"), F.grouping("predicted").cast("bigint").alias("p_all"), F.count("*").alias("n")).withColumn("quality", F.col("quality").cast("string")).withColumn("predicted", F.col("predicted").cast("string"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7/' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT doc_id, lang, CASE WHEN k <= floor(n * 0.85::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.85::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r"""
+)
 def stratified_split(spark, sf):
     return S.ordinal_split(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 7, (0.85, 0.10))
 
