@@ -12,7 +12,7 @@ from finspan.sources.panels import AsOf
 
 DAY = "1996-05-17"
 #: Any plan takes an AsOf folder; these are entered as queries.
-NAMES = ("tier1_summary", "ytd_return", "streaks", "portfolio_summary", "positions_mtm")
+NAMES = ("tier1_summary", "ytd_return", "streaks", "portfolio_summary")
 
 
 def _then(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
