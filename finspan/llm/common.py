@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
@@ -114,6 +115,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+#: Longer words get a cryptographic hash: sums of powers modulo 2^64 are equal for some different words of a thousand letters, whatever the base.
+LONG_WORD = 100
+
+
 def word_hashes(raw: np.ndarray, lower: bool = True, marks: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of the words in an array of UTF-8 bytes.
 
@@ -135,5 +140,8 @@ def word_hashes(raw: np.ndarray, lower: bool = True, marks: bytes = b"") -> tupl
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * down[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * up[starts]
-    return mix64(h ^ (ends - starts).astype(np.uint64)), starts, ends
+    h = mix64((total[ends] - total[starts]) * up[starts] ^ (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = raw[starts[i] : ends[i]]
+        h[i] = int.from_bytes(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
+    return h, starts, ends
