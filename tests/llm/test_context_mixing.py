@@ -213,3 +213,51 @@ def test_adapted_equals_plain_loop():
             total += math.log10(p)
         at += n
         assert abs(total - g) < 1e-9
+
+
+def test_held_out_text_is_scored_by_the_documents_of_all_streams(spark, monkeypatch):
+    monkeypatch.setattr(cm, "STREAM_BYTES", 500)  # about a stream for each document
+    r = np.random.default_rng(4)
+    vocabulary = [bytes(r.integers(97, 123, 6).astype(np.uint8)).decode() for _ in range(60)]
+    learn_ids = [d for d in range(4000) if zlib.crc32(str(d).encode()) % 7 != 2][:60]
+    held = next(d for d in range(4000) if zlib.crc32(str(d).encode()) % 7 == 2)
+    text = " ".join(vocabulary)
+
+    def score(others):
+        rows = [(d, " ".join(r.permutation(vocabulary)) if n % 30 else others) for n, d in enumerate(learn_ids)] + [(held, text)]
+        got = {x.doc_id: x for x in cm.fit_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), f"not ({cm.HELD_OUT})").collect()}
+        return got[held].score, got[held].base_score
+
+    known, base = score(text)  # two of sixty documents have its order, wherever they were dealt to
+    shuffled, same = score(" ".join(vocabulary[::-1]))
+    assert abs(base - same) < 1e-6 and known > 0.8 * shuffled and known > base
+
+
+def _stream(k, docs, learn, leads):
+    words = np.concatenate([np.append(cm.common.word_hashes(np.frombuffer(t, np.uint8))[0], cm.END_HASH) for t in docs])
+    hashes = np.unique(words)
+    return cm.Stream.of(k, docs, np.array(learn), hashes, np.full(len(hashes), 5), np.full(len(hashes), leads))
+
+
+def test_what_streams_tell_adds_up_in_any_order():
+    streams = [_stream(k, [b"the cat sat %d" % k, b"on the mat"] * 9, [True] * 18, k == 0) for k in range(3)]
+    mass = np.zeros(256)
+    mass[3] = 9
+    code, spelling = cm.prefix_code(mass), cm.prefix_code(np.ones(256, int))
+    tables = []
+    for order in (streams, streams[::-1]):
+        f = cm.Followers()
+        for s in order:
+            f.learn(s.stream, s.hashes[s.word], s.first)
+        tables.append(f.table)
+    assert (tables[0] == tables[1]).all()
+    one = cm.Followers(tables[0])
+    parts = [cm.learned(s, one, code, spelling) for s in streams]
+    n = len(cm.new_mixer().told())
+    total = sum(parts)
+    whole = cm.new_mixer().take(total[:n])
+    assert whole.counts.real.sum() + whole.counts.imag.sum() == sum(p[: 2 * len(whole.counts)].sum() for p in parts) > 0
+    assert (sum(parts[::-1]) == total).all()
+    own = cm.new_mixer()
+    own.counts = (parts[1][: len(own.counts)] + 1j * parts[1][len(own.counts) : 2 * len(own.counts)]).astype(np.complex64)
+    assert (cm.new_mixer().take(total[:n], own.counts).counts == cm.new_mixer().take((parts[0] + parts[2])[:n]).counts).all()
