@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from finspan.sources import buckets, sinks
@@ -52,54 +52,36 @@ def runs(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
-class OrderedRuns(StatefulProcessor):
-    """Events wait until the watermark has passed them; then they count in the order of their times, whatever batch brought them.
+#: Groups of users whose state is kept together, so that the work of a call is shared by many. Choose so that a group of all users' waiting events fits a task.
+GROUPS = 1024
+_EVENT = np.dtype([("user_id", "i8"), ("us", "i8"), ("event_id", "i8"), ("value", "f8")])
+_RUN = np.dtype([("user_id", "i8"), ("last_value", "f8"), ("run", "i4")])
 
-    State of a user: the events that wait, the last value and run of those that counted, and the time of the one timer that is set.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, us bigint, event_id bigint, value double")
-        self.run = handle.getValueState("run", "last_value double, run int")
-        self.timer = handle.getValueState("timer", "ms bigint")
-
-    def _set(self, ms: int) -> None:
-        """Let the timer go off once the watermark is past ms, unless it goes off earlier anyway."""
-        before = self.timer.get()[0] if self.timer.exists() else None
-        if before is None or ms < before:
-            if before is not None:
-                self.handle.deleteTimer(before + 1)
-            self.handle.registerTimer(ms + 1)
-            self.timer.update((ms,))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(us) // 1000, int(us), int(i), float(v)) for part in rows for us, i, v in zip(part["us"], part["event_id"], part["value"], strict=True)]
-        self.waiting.appendList(new)
-        self._set(min(x[0] for x in new))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(x) for x in self.waiting.get())
-        due, rest = [x for x in rows if x[0] < now], [x for x in rows if x[0] >= now]
-        self.timer.clear()
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._set(rest[0][0])
-        last, run = self.run.get() if self.run.exists() else (None, 0)
-        for *_, v in due:
-            if last is not None:
-                sign = (v > last) - (v < last)
-                run = run + sign if sign and run * sign > 0 else sign
-            last = v
-        if due:
-            self.run.update((last, run))
-            yield pd.DataFrame({"user_id": [key[0]], "last_value": [last], "run": [run], "settled": [due[-1][1]]})
+def _go_on(known: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The users of due with their last values and runs after its events, which are in order by user; and the place of each one's last event.
 
-    def close(self) -> None:
-        pass
+    known: the last values and runs before, by user in order.
+    """
+    n = len(due)
+    new = np.append(True, due["user_id"][1:] != due["user_id"][:-1])
+    begin, end = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
+    users = due["user_id"][begin]
+    last, run = np.full(len(users), np.nan), np.zeros(len(users), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known["user_id"], users), len(known) - 1)
+        had = known["user_id"][at] == users
+        last[had], run[had] = known["last_value"][at[had]], known["run"][at[had]]
+    v = due["value"]
+    before = np.append(np.nan, v[:-1])
+    before[begin] = last
+    sign = (v > before).astype(np.int64) - (v < before)
+    streak = np.maximum.accumulate(np.where(new | np.append(True, sign[1:] != sign[:-1]), np.arange(n), 0))[end]
+    s = sign[end]
+    out = np.empty(len(users), _RUN)
+    out["user_id"], out["last_value"] = users, v[end]
+    out["run"] = s * (end - streak + 1) + np.where((streak == begin) & (run * s > 0), run, 0)
+    return out, end
 
 
 def ordered_runs(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -110,8 +92,32 @@ def ordered_runs(events: DataFrame, late: str = "1 day") -> DataFrame:
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = events.withWatermark("ts", late).where("user_id is not null and ts is not null and event_id is not null and value is not null")
-    e = e.select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "value")
-    return e.groupBy("user_id").transformWithStateInPandas(OrderedRuns(), "user_id bigint, last_value double, run int, settled bigint", "Update", "EventTime")
+    e = e.select(F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("users"), "ts", "user_id", F.unix_micros("ts").alias("us"), "event_id", "value")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State of a group of users: the events that wait, and the last values and runs of those that counted. It times out once the watermark is past the first that waits."""
+        waiting, known = (np.frombuffer(x, t) for x, t in zip(state.get if state.exists else (b"", b""), (_EVENT, _RUN), strict=True))
+        rows = [waiting]
+        for part in parts if not state.hasTimedOut else ():
+            rows.append(np.empty(len(part), _EVENT))
+            for c in _EVENT.names:
+                rows[-1][c] = part[c]
+        rows = np.concatenate(rows)
+        is_due = rows["us"] // 1000 < state.getCurrentWatermarkMs()
+        due, waiting = rows[is_due], rows[~is_due]
+        if len(due):
+            due = due[np.lexsort((due["event_id"], due["us"], due["user_id"]))]
+            found, end = _go_on(known, due)
+            known = np.concatenate([known[~np.isin(known["user_id"], found["user_id"])], found])
+            known = known[np.argsort(known["user_id"])]
+        state.update((waiting.tobytes(), known.tobytes()))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["us"].min()) // 1000, 1))
+        if len(due):
+            yield pd.DataFrame({c: found[c] for c in _RUN.names} | {"settled": due["us"][end]})
+
+    out = "user_id bigint, last_value double, run int, settled bigint"
+    return e.groupBy("users").applyInPandasWithState(step, out, "waiting binary, known binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_stream(events: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> None:
