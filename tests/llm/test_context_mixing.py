@@ -261,3 +261,67 @@ def test_what_streams_tell_adds_up_in_any_order():
     own = cm.new_mixer()
     own.counts = (parts[1][: len(own.counts)] + 1j * parts[1][len(own.counts) : 2 * len(own.counts)]).astype(np.complex64)
     assert (whole.without(own.counts).counts == cm.new_mixer().take((parts[0] + parts[2])[:n]).counts).all()
+
+
+def test_nothing_is_kept_by_word_or_by_document(spark, tmp_path, monkeypatch):
+    """Rows for each word of a stream took more memory than an executor has."""
+    monkeypatch.setattr(cm.common, "shared_dir", lambda _, what: f"{tmp_path}/{what}")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert cm.fit_and_score(docs, "true").count() == docs.count()
+    assert {p.name: spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()} == {"token-streams": cm.LEAST_STREAMS, "word-counts": cm.LEAST_STREAMS}
+
+
+TEXTS = [b"The cat\x1csat\n\tthe  cat", b"", b" \n", "É é z".encode(), b"x " * 40 + b"A" * 300, b"the cat"]
+
+
+def test_streams_are_read_as_they_were_made(monkeypatch):
+    made = cm.Stream.of(3, TEXTS, np.array([True] * 4 + [False] * 2))
+    (read, ids), = cm.Stream.read([made.row([5, None, 7, 8, 9, 10])])
+    assert ids == [5, None, 7, 8, 9, 10] and read.stream == 3 and read.spelt == made.spelt
+    assert all((getattr(read, k) == getattr(made, k)).all() for k in ("learn", "n_bytes", "sizes", "word", "hashes", "ends"))
+    low = [bytes(x + 32 if 65 <= x <= 90 else x for x in t) for t in TEXTS]
+    words = [w for t in low for w in [*re.findall(rb"[^\x20\x09-\x0D]+", t), b"\n"]]
+    assert read.spell(read.word) == words and made.n_bytes.tolist() == [len(t) for t in TEXTS]
+
+
+def test_words_are_counted_over_streams():
+    streams = [cm.Stream.of(k, [t + b" w%d" % k for t in TEXTS], np.array([True] * k + [False] * (6 - k))) for k in range(3)]
+    rows = [r for s in streams for r in cm.words_by_range([s.row([0] * 6)], 6)]
+    parts = cm.pa.Table.from_batches(rows).to_pandas()
+    found = [cm.counted_words(cm.pa.Table.from_pandas(g, preserve_index=False)) for _, g in parts.groupby("part")]
+    found = cm.pa.concat_tables(found).to_pandas()
+    want = sum((collections.Counter(s.spell(s.word[: s.n_learn])) for s in streams), collections.Counter())
+    first, mass, kinds = collections.Counter(), np.zeros(cm.CLASSES + 1), np.zeros(cm.CLASSES + 1)
+    for s in streams:
+        out = cm.whole_counts(cm.pa.Table.from_pandas(found[found.stream == s.stream], preserve_index=False)).to_pylist()[0]
+        counts, leads = cm._unpacked(out["counts"], np.int64), cm._unpacked(out["leads"], bool)
+        spelt = s.spell(np.arange(len(s.hashes)))
+        assert counts.tolist() == [want[w] for w in spelt]
+        own = set(s.spell(s.word[: s.n_learn]))
+        first.update(w for w, x in zip(spelt, leads) if x)
+        assert all(w in own or not want[w] for w, x in zip(spelt, leads) if x)
+        mass, kinds = mass + out["mass"], kinds + out["kinds"]
+    assert set(first.values()) == {1} and set(first) == {w for s in streams for w in s.spell(s.word)}
+    assert mass.sum() == sum(want.values()) and kinds[1:].sum() == len(want) and kinds[0] == len(first) - len(want)
+
+
+def test_many_bits_are_counted_as_batch_by_batch():
+    r = np.random.default_rng(2)
+    one, other = cm.Mixer(1000, 3, 4), cm.Mixer(1000, 3, 4)
+    parts = [(r.integers(0, 300, (3, n)) + np.array([[0], [300], [600]]), r.integers(0, 2, n)) for n in (50, 1, 0, 200)]
+    for slots, bit in parts:
+        one.count(slots, bit)
+    other.count_all([s for s, _ in parts], [b for _, b in parts])
+    assert (one.counts == other.counts).all() and one.counts.any()
+
+
+def test_adapted_is_the_same_however_few_go_on_alone(monkeypatch):
+    r = np.random.default_rng(6)
+    sizes = np.append(r.integers(1, 60, 40), [1, 300])
+    log10, before = -r.random(sizes.sum()) * 400, r.integers(0, 2, sizes.sum())
+    before[np.cumsum(sizes) - sizes] = 0
+    got = []
+    for few in (0, 1, 5, 30, 99):
+        monkeypatch.setattr(cm, "FEW", few)
+        got.append(cm.adapted(log10, before, sizes))
+    assert all(np.allclose(x, got[0], rtol=1e-12) for x in got)
